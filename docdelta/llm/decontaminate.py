@@ -14,10 +14,10 @@ Defined cases
     each is reported; repeated items: each is reported; empty tables: no rows;
     ties between alignments: the earliest position; extra columns are ignored.
 
-Scale: the documents are read once and never shuffled while the test hashes stay
-below ``broadcast_rows`` (a count is taken); beyond, both sides shuffle by hash,
-where a hash that many documents share is split by adaptive skew handling. What
-is aggregated after the join is one number per hit, on the map side first.
+Scale: the documents are read twice. They are never shuffled while the test
+hashes, and then the places that were hit, stay below ``broadcast_rows`` (both
+are counted first); beyond, the sides shuffle by hash or by document, where a
+hash that many documents share is split by adaptive skew handling.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docdelta.llm.exprs import let
+from docdelta.plans.scratch import materialize
+
 # 1 marks a token that counts.
 MASKS = ("110110101101", "1110010110111")
 
@@ -33,53 +36,52 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda x: x != "")
 
 
-def _seeds(masks: tuple[str, ...]) -> list[list[int]]:
-    return [[i for i, c in enumerate(m) if c == "1"] for m in masks]
-
-
-def _hashes(tokens: str, at: Column, n: Column, masks: tuple[str, ...]) -> Column:
-    """One hash per mask at a position; null where the mask runs over the end."""
-    return F.array(
-        *(
-            F.when(at + len(m) <= n, F.xxhash64(F.lit(k), *(F.get(tokens, at + i) for i in picked)))
-            for k, (m, picked) in enumerate(zip(masks, _seeds(masks), strict=True))
-        )
-    )
-
+def _hash(tokens: str, at: Column, mask: str) -> Column:
+    return F.xxhash64(F.lit(mask), *(F.get(tokens, at + i) for i, c in enumerate(mask) if c == "1"))
 
-def _placed(tokens: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """Exploded (hash, at) beside the columns of ``tokens`` (which has ``toks`` and ``n``)."""
-    at = tokens.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - min(map(len, masks)))).alias("at"))
-    return at.select("*", F.explode(_hashes("toks", F.col("at"), F.col("n"), masks)).alias("hash"))
 
+def _placed(tokens: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
+    """(at, hash) of every mask at every position, beside the named columns of ``tokens`` (which has toks and n)."""
+    def each(mask: str) -> Column:
+        rows = F.transform(F.sequence(F.lit(0), F.col("n") - len(mask)), lambda i: F.struct(i.alias("at"), _hash("toks", i, mask).alias("hash")))
+        return F.when(F.col("n") < len(mask), F.array().cast("array<struct<at:int,hash:bigint>>")).otherwise(rows)
 
-def _short(items: DataFrame, span: int) -> list[int]:
-    return [r["n"] for r in items.filter((F.col("n") > 0) & (F.col("n") < span)).select("n").distinct().collect()]  # fewer than span values
+    return tokens.select(*keep, F.explode(F.concat(*map(each, masks))).alias("p")).select(*keep, "p.at", "p.hash")
 
 
 def find(
-    docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, overlap: float = 0.6, least: int = 8, broadcast_rows: int = 4_000_000
+    docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, overlap: float = 0.6, least: int = 8, broadcast_rows: int = 2_000_000
 ) -> DataFrame:
     """One row per document and item that overlap: doc_id, item_id, matched, item_tokens, at."""
     span = min(map(len, masks))
-    base = items.select(F.col("item_id"), tokens_of(F.col("text")).alias("toks")).select("*", F.size("toks").alias("n")).filter(F.col("n") >= least)
-    text = docs.select(F.col("doc_id"), tokens_of(F.col("text")).alias("toks")).select("*", F.size("toks").alias("n"))
-    test = _placed(base.filter(F.col("n") >= span), masks).select("hash", "item_id", F.col("toks").alias("item"), F.col("at").alias("item_at")).filter(F.col("hash").isNotNull())
-    train = _placed(text.filter(F.col("n") >= span), masks)
-    for n in _short(base, span):
-        whole = ("1" * n,)
-        test = test.union(_placed(base.filter(F.col("n") == n), whole).select("hash", "item_id", F.col("toks").alias("item"), F.col("at").alias("item_at")))
-        train = train.union(_placed(text.filter(F.col("n") >= n), whole))
-    small = test.count() <= broadcast_rows
-    hits = train.join(F.broadcast(test) if small else test, "hash")
-    start = F.col("at") - F.col("item_at")
-    size = F.size("item")
+    test = let(items.select("item_id", F.col("text")), toks=tokens_of(F.col("text")))
+    test = materialize(test.select("item_id", "toks", F.size("toks").alias("n")).filter(F.col("n") >= least), "items")
+    lengths = sorted(r["n"] for r in test.filter(F.col("n") < span).select("n").distinct().collect())  # fewer than span values
+    text = let(docs.select("doc_id", "text"), toks=tokens_of(F.col("text"))).select("doc_id", "toks", F.size("toks").alias("n"))
+
+    seeds = _placed(test.filter(F.col("n") >= span), ["item_id", "n"], list(masks))
+    for n in lengths:
+        seeds = seeds.union(_placed(test.filter(F.col("n") == n), ["item_id", "n"], ["1" * n]))
+    seeds = seeds.select("hash", "item_id", F.col("n").alias("item_tokens"), F.col("at").alias("item_at"))
+    n_seeds = seeds.count()
+    hits = _placed(text, ["doc_id"], [*masks, *("1" * n for n in lengths)]).join(F.broadcast(seeds) if n_seeds <= broadcast_rows else seeds, "hash")
+    places = hits.select("doc_id", F.struct("item_id", "item_tokens", (F.col("at") - F.col("item_at")).alias("start")).alias("place")).distinct()
+    places = materialize(places, "places")
+
+    by_doc = places.groupBy("doc_id").agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "id")
+    if places.count() <= broadcast_rows:
+        by_doc = F.broadcast(by_doc)
+    found = text.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")))
     # The document below the item; what lies outside the document does not match.
-    under = F.slice("toks", F.greatest(start, F.lit(0)) + 1, size + F.least(start, F.lit(0)))
-    over = F.slice("item", F.greatest(-start, F.lit(0)) + 1, size)
-    hits = hits.select("doc_id", "item_id", size.alias("item_tokens"), start.alias("start"), under.alias("under"), over.alias("over"))
-    matched = F.size(F.filter(F.zip_with("under", "over", lambda a, b: a == b), lambda x: x))
-    best = hits.select("doc_id", "item_id", "item_tokens", F.struct(matched.alias("matched"), (-F.col("start")).alias("minus")).alias("b"))
-    best = best.filter(F.col("b.matched") >= overlap * F.col("item_tokens"))
-    found = best.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"), F.max("item_tokens").alias("item_tokens"))
-    return found.select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), F.col("item_tokens").cast("long").alias("item_tokens"), (-F.col("b.minus")).cast("long").alias("at"))
+    found = found.select("doc_id", "toks", F.explode("places").alias("p"))
+    start, size = F.col("p.start"), F.col("p.item_tokens")
+    under = F.slice("toks", F.greatest(start, F.lit(0)) + 1, F.greatest(F.lit(0), size + F.least(start, F.lit(0))))
+    found = found.select("doc_id", "p.item_id", size.alias("item_tokens"), start.alias("start"), under.alias("under"))
+    found = found.join(test.select("item_id", "toks").withColumnRenamed("item_id", "item"), F.col("item_id").eqNullSafe(F.col("item")))
+    over = F.slice("toks", F.greatest(-F.col("start"), F.lit(0)) + 1, F.col("item_tokens"))
+    agree = F.filter(F.zip_with("under", over, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
+    best = found.select("doc_id", "item_id", "item_tokens", F.struct(F.size(agree).alias("matched"), (-F.col("start")).alias("minus")).alias("b"))
+    best = best.filter(F.col("b.matched") >= overlap * F.col("item_tokens")).groupBy("doc_id", "item_id").agg(F.max("b").alias("b"), F.max("item_tokens").alias("item_tokens"))
+    return best.select(
+        "doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), F.col("item_tokens").cast("long").alias("item_tokens"), (-F.col("b.minus")).cast("long").alias("at")
+    )

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.llm import chat, decontaminate, quality_rules, shards
+from docdelta.llm import chat, decontaminate, quality_mil, quality_rules, shards, simhash, toxicity, warc
+from docdelta.plans.scratch import scratch_path
 from docdelta.sources.tables import read_table
 
 
@@ -35,10 +36,32 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(read_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), path)
+    return warc.page_rows(warc.read(spark, path, payload=False, pattern="part-*"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_shards": op3_shards,
+    "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontaminate": op7_decontaminate,
+    "op8_quality_mil": op8_quality_mil,
+    "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
