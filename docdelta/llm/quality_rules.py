@@ -18,7 +18,8 @@ Defined cases
     without word list; repeated rows: judged alike, each counts; empty table:
     no rows; extra columns are ignored whatever their names.
 
-Scale: text is read twice; nothing but one histogram per language (a few dozen
+Scale: text is read once, into a table of counts and histograms (some 30 numbers
+a document, in the shared folder); nothing but one histogram per language (a few dozen
 numbers) crosses a shuffle, summed on the map side, so a hot language costs no
 more than another one.
 """
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docdelta.llm.exprs import let
+from docdelta.plans.scratch import materialize
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -129,7 +131,7 @@ def judge(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     t = t.select("*", failed.alias("base_failed"), ((F.col("word_chars") >= char_guard) & (F.col("n_words") >= word_guard)).alias("judged"))
     lang = F.when(F.col("known"), F.col("lang")).otherwise(F.lit("*"))
-    t = t.drop("text", "words").withColumn("ref", lang)
+    t = materialize(t.drop("text", "words").withColumn("ref", lang), "histograms")
     fit = t.filter(~F.col("base_failed") & F.col("judged"))
     widths = {**{k: len(v) + 1 for k, v in COMMON.items()}, "*": len({w for v in COMMON.values() for w in v}) + 1}
     sums = [F.avg(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.avg(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(max(widths.values()))]
