@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning with a noisy-or.
 
 A document is a bag of sentences; p(document) = 1 - prod(1 - p(sentence)), with
-p(sentence) a logistic model over hashed words. Only document labels are needed.
+p(sentence) a logistic model over hashed words and word beginnings, zero where no word of the model
+occurs. Only document labels are needed.
 A leak term takes up labels that no sentence explains, so that mislabelled
 documents do not turn clean words toxic; it is left out when scoring. Sentences
 with p of at least 0.5 are returned as the offending ones, with their places.
@@ -21,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,13 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def hashed(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+PREFIXES = (4, 5, 6)
+
+
+def hashed(word: str) -> list[int]:
+    """Features of a word: itself, and its beginnings (insults are inflected and compounded)."""
+    parts = [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
+    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for p in parts]
 
 
 def sentences(text: str | None) -> Iterator[tuple[int, int, set[str]]]:
@@ -52,37 +59,38 @@ class Model:
     bias: float = -30.0
 
     def sentence(self, words: set[str], known: dict[str, float]) -> float:
-        z = self.bias
+        z, told = self.bias, False
         for w in words:
             v = known.get(w)
             if v is None:
-                v = known[w] = self.weights.get(hashed(w), 0.0)
-            z += v
-        return 1 / (1 + np.exp(-z)) if z > -30 else 0.0
+                v = known[w] = sum(self.weights.get(h, 0.0) for h in hashed(w))
+            if v:
+                z, told = z + v, True
+        return 1 / (1 + exp(-z)) if told and z > -30 else 0.0
 
     def document(self, text: str | None, known: dict[str, float]) -> tuple[float, list[tuple[int, int, float]]]:
         """Score, and the sentences at or above one half."""
         clean, found = 0.0, []
         for start, end, words in sentences(text):
             p = self.sentence(words, known)
-            clean += np.log1p(-min(p, 1 - 1e-12))
+            clean += log1p(-min(p, 1 - 1e-12))
             if p >= 0.5:
-                found.append((start, end, float(p)))
-        return float(1 - np.exp(clean)), found
+                found.append((start, end, p))
+        return 1 - exp(clean), found
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, y, words by sentence (hashed), sentence lengths."""
     for batch in batches:
         for i, y, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            bags = [sorted({hashed(w) for w in words}) for _, _, words in sentences(text)]
+            bags = [sorted({h for w in words for h in hashed(w)}) for _, _, words in sentences(text)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([[w for b in bags for w in b]], pa.list_(pa.int32())), pa.array([[len(b) for b in bags]], pa.list_(pa.int32()))],
                 names=["doc_id", "y", "words", "lengths"],
             )
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, min_docs: int = 6, steps: int = 200) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1000, min_contexts: int = 5, min_z: float = 5.0, steps: int = 200) -> Model:
     """Learns sentence weights from document labels."""
     rows = sample(docs, labels, label, per_class).mapInArrow(_bags, "doc_id long, y int, words array<int>, lengths array<int>").toArrow()
     rows = rows.sort_by("doc_id")
@@ -94,13 +102,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     per_doc = np.diff(rows["lengths"].combine_chunks().offsets.to_numpy())
     bag_of = np.repeat(np.arange(len(lengths)), lengths)
     doc_of_bag = np.repeat(np.arange(len(y)), per_doc)
-    # Words of too few documents are left out: they would learn single labels.
-    pair = np.unique(words * len(y) + doc_of_bag[bag_of])
-    seen = np.bincount(pair // len(y), minlength=1 << BITS)
-    keep = seen[words] >= min_docs
+    keep = _telling(words, bag_of, y[doc_of_bag], min_contexts, min_z)[words]
     words, bag_of = words[keep], bag_of[keep]
     vocab, at = np.unique(words, return_inverse=True)
-    n, d = len(lengths), len(y)
+    # A sentence without a telling word has p = 0, however many of them there are.
+    told, bag_of = np.unique(bag_of, return_inverse=True)
+    doc_of_bag = doc_of_bag[told]
+    n, d = len(told), len(y)
     w, b, leak = np.zeros(len(vocab)), -3.0, -2.0
     m = np.zeros(len(vocab) + 2)
     v = np.zeros(len(vocab) + 2)
@@ -122,6 +130,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     return Model({int(k): float(x) for k, x in zip(vocab, w, strict=True) if abs(x) > 1e-3}, float(b))
 
 
+def _telling(words: np.ndarray, bag_of: np.ndarray, toxic: np.ndarray, least: int, min_z: float) -> np.ndarray:
+    """Which hashes stand in clearly more different sentences of toxic documents than of others.
+
+    Equal sentences count once for each label, so that the copies of one
+    mislabelled document do not speak for its words.
+    """
+    n = len(toxic)
+    mixed = (words.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    begin = np.r_[0, np.flatnonzero(np.diff(bag_of)) + 1] if len(bag_of) else np.array([], int)
+    code = np.zeros(n, np.uint64)
+    if len(begin):
+        code[bag_of[begin]] = np.add.reduceat(mixed, begin)
+    counts = []
+    for label in (1, 0):
+        _, first = np.unique(np.where(toxic == label, code, np.uint64(0)), return_index=True)
+        once = np.zeros(n, bool)
+        once[first] = True
+        once &= toxic == label
+        counts += [np.bincount(words[once[bag_of]], minlength=1 << BITS), max(1, once.sum())]
+    a, n1, c, n0 = counts
+    p = (a + c) / (n1 + n0)
+    z = (a / n1 - c / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    return (a >= least) & (z >= min_z)
+
+
 def _scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
