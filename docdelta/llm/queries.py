@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.llm import chat, decontaminate, quality_mil, quality_rules, shards, simhash, toxicity, warc
+from docdelta.llm import chat, decontaminate, pii, quality_mil, quality_rules, shards, simhash, toxicity, warc
 from docdelta.plans.scratch import scratch_path
 from docdelta.sources.tables import read_table
 
@@ -65,3 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(rows, count="n_replaced")
+
+
+QUERIES["op4_pii"] = op4_pii
