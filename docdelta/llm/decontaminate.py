@@ -85,3 +85,10 @@ def find(
     return best.select(
         "doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), F.col("item_tokens").cast("long").alias("item_tokens"), (-F.col("b.minus")).cast("long").alias("at")
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, limit: int = 1_000_000, **how) -> DataFrame:
+    """The rows that overlap no item; rows without doc_id go together if one of them overlaps."""
+    ids = materialize(find(docs, items, **how).select(F.col("doc_id").alias("id")).distinct(), "contaminated")
+    ids = F.broadcast(ids) if ids.count() <= limit else ids
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").select(*docs.columns)

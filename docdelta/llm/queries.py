@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.llm import chat, decontaminate, pii, quality_mil, quality_rules, shards, simhash, toxicity, warc
+from docdelta.llm import chat, decontaminate, pieces, pii, quality_mil, quality_rules, shards, simhash, toxicity, warc
 from docdelta.plans.scratch import scratch_path
 from docdelta.sources.tables import read_table
 
@@ -72,4 +72,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(rows, count="n_replaced")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    coded = pieces.encode(rows.select(F.struct("doc_id", "h").alias("k"), "text"), key="k")
+    return coded.select(
+        "k.doc_id", F.size("ids").cast("long").alias("n_pieces"), (F.xxhash64("decoded") == F.col("k.h")).alias("decodes"), "ids"
+    )
+
+
 QUERIES["op4_pii"] = op4_pii
+QUERIES["op2_sentencepiece"] = op2_sentencepiece

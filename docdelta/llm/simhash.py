@@ -31,7 +31,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docdelta.llm.graph import components
@@ -156,8 +156,6 @@ def links(distinct: DataFrame, distance: int = 4, tile: int = 2048) -> DataFrame
     """Links (a, b) between distinct fingerprints that connect whatever is close."""
     k = choose_blocks(distinct.count(), distance)
     keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), k, distance)).alias("k")).select("k.c", "k.bits", "fp")
-    from pyspark.sql import Window
-
     keyed = keyed.select("*", F.count("*").over(Window.partitionBy("c", "bits")).alias("n")).filter("n > 1")
     keyed = materialize(keyed.select("c", "bits", F.ceil(F.col("n") / tile).alias("m"), "fp"), "keyed")
     once = keyed.filter("m = 1").select("c", "bits", F.lit(0).cast("long").alias("tile"), "fp")
@@ -180,3 +178,20 @@ def groups(docs: DataFrame, distance: int = 4) -> DataFrame:
     alone = distinct.join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     names = materialize(linked.unionByName(alone), "names")
     return rows.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, distance: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One document of each group stays: the one with the smallest doc_id.
+
+    Of wholly equal rows one stays; rows without doc_id cannot be named as
+    copies and stay.
+    """
+    by_id = groups(docs, distance).filter(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    by_id = materialize(by_id.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "verdicts")
+    gone, repeated = by_id.filter("not stays").select("doc_id"), by_id.filter("n > 1").select("doc_id")
+    sized = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    kept = docs.join(sized(gone), "doc_id", "left_anti")
+    if repeated.take(1):
+        some = sized(repeated)
+        kept = kept.join(some, "doc_id", "left_anti").unionByName(kept.join(some, "doc_id", "left_semi").dropDuplicates())
+    return kept.select(*docs.columns)

@@ -177,6 +177,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scorer(model), "doc_id long, score double, offending array<struct<start:int,stop:int,score:double>>")
 
 
+def _filter(model: Model, threshold: float):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array([model.document(t.as_py(), known)[0] < threshold for t in texts], pa.bool_()))
+            if len(known) > 1_000_000:
+                known.clear()
+
+    return keep
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows that score below the threshold, with all their columns."""
+    return docs.mapInArrow(_filter(model, threshold), docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how: int) -> DataFrame:
     """Contract columns of the query, and the offending sentences."""
     rows = score(docs, fit(docs, labels, **how))
