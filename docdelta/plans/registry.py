@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from docdelta.plans.oracles import ORACLES
+from docdelta.plans.queries import QUERIES, job_verdicts
 
-from pyspark.sql import DataFrame, SparkSession
+ENTRY = job_verdicts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def ENTRY(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ENTRY", "ORACLES", "QUERIES"]
