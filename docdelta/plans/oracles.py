@@ -1 +1,194 @@
-ORACLES: dict[str, str] = {}
+"""SQL counterparts of the registered queries, for DuckDB over the same tables.
+
+RE2 has no look-around, so matches are captured and put back; the dialect's
+patterns are otherwise those of docdelta.functions.patterns.
+"""
+
+from __future__ import annotations
+
+_W = r"[\p{L}\p{N}_]"
+_S = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_IN_LINE = r"[\t\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_PREFIX = rf"^{_S}*(?:#{{1,6}}{_S}+|[•▪◦‣*–—-]{_S}+|\p{{Nd}}+(?:\.\p{{Nd}}+)*[.)]{_S}+|[A-Za-zА-Яа-яЁё][.)]{_S}+)"
+_NUMBERING = rf"^{_S}*\p{{Nd}}+(?:\.\p{{Nd}}+)*[.)]{_S}*$"
+
+
+def _re(x: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+
+
+def _strip(x: str) -> str:
+    return _re(x, rf"^{_S}+|{_S}+$")
+
+
+def _squeeze(x: str) -> str:
+    return _strip(_re(x, rf"{_S}+", " "))
+
+
+def _layout_free(x: str) -> str:
+    t = f"replace(replace(coalesce({x}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    for _ in range(2):  # neighbouring matches share a letter
+        t = _re(t, rf"({_W})\x{{ad}}[ \t]*\n[ \t]*({_W})", r"\1\2")
+    t = f"replace({t}, chr(173), '')"
+    for _ in range(2):
+        t = _re(t, rf"({_W})-[ \t]*\n[ \t]*({_W})", r"\1\2")
+    t = _re(t, r"[ \t]+", " ")
+    t = _re(t, rf"(^|\n){_IN_LINE}+", r"\1")
+    t = _re(t, rf"{_IN_LINE}+(\n|$)", r"\1")
+    return _strip(_re(t, r"\n{3,}", r"\n\n").replace(r"'\n\n'", "chr(10) || chr(10)"))
+
+
+def _literal_key(x: str) -> str:
+    return _squeeze(_layout_free(x))
+
+
+def _line_key(x: str) -> str:
+    t = f"regexp_replace({_strip(x)}, '{_PREFIX}', '')"
+    t = f"regexp_replace({t}, '^{_S}*(?:\\*\\*|__|\\*)+', '')"
+    t = f"regexp_replace({t}, '(?:\\*\\*|__|\\*)+{_S}*$', '')"
+    t = f"replace(replace({t}, '**', ''), '__', '')"
+    return _strip(f"regexp_replace({t}, '{_PREFIX}', '')")
+
+
+_DASH = "translate({x}, '‐‑‒–—−', '------')"
+_PAIRS = """
+  versions AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY substring(text, 1, 120)) AS base FROM documents),
+  pairs AS (SELECT CAST(v.doc_id AS VARCHAR) AS job_id, b.text AS text1, v.text AS text2 FROM versions v JOIN documents b ON b.doc_id = v.base WHERE v.doc_id <> v.base)"""
+_SIDES = f"""{_PAIRS},
+  sides AS (SELECT job_id, 1 AS side, string_split(text1, chr(10)) AS lines FROM pairs UNION ALL SELECT job_id, 2, string_split(text2, chr(10)) FROM pairs),
+  pages_ AS (SELECT job_id, side, p + 1 AS page, array_to_string(lines[p * 5 + 1 : p * 5 + 5], chr(10)) AS text
+             FROM (SELECT job_id, side, lines, unnest(range(0, CAST(floor((len(lines) - 1) / 5.0) AS BIGINT) + 1)) AS p FROM sides))"""
+_LINE_PAIRS = f"""{_PAIRS},
+  ab AS (SELECT job_id, string_split(text1, chr(10)) AS l1, string_split(text2, chr(10)) AS l2 FROM pairs),
+  zipped AS (SELECT job_id, i AS line_no, coalesce(l1[i + 1], '') AS a, coalesce(l2[i + 1], '') AS b
+             FROM (SELECT job_id, l1, l2, unnest(range(0, greatest(len(l1), len(l2)))) AS i FROM ab)),
+  line_pairs AS (SELECT * FROM zipped WHERE a <> b)"""
+_CONV = """
+  conv AS (SELECT CAST(conv_id AS VARCHAR) AS job_id, CAST(floor(turn / 2) + 1 AS INTEGER) AS page_number, CAST(turn % 2 + 1 AS INTEGER) AS side, text FROM conversations)"""
+_LOG = """
+  log AS (SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'preparing' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'ocr_ready' ELSE 'failed' END AS status,
+            event_id % 7 AS total_chunks, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS message,
+            CASE WHEN event_id % 3 = 0 THEN 'a' || event_id ELSE '' END AS file1_name FROM events)"""
+_JOBS = """
+  counted AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1),
+  jobs_ AS (SELECT o_orderkey AS job_id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'comparing' ELSE 'ocr_ready' END AS status, o_orderdate AS created_at,
+              coalesce(n, 0) AS processed_chunks, o_orderkey % 5 = 0 AS comparison_claimed, CASE o_orderkey % 3 WHEN 0 THEN 'w1' WHEN 1 THEN 'w2' END AS lease_owner
+            FROM orders LEFT JOIN counted ON l_orderkey = o_orderkey)"""
+_TRANSITIONS = """
+  moves(f, t) AS (VALUES ('queued','preparing'),('queued','processing'),('queued','failed'),('preparing','queued'),('preparing','processing'),('preparing','failed'),
+    ('processing','ocr_ready'),('processing','failed'),('ocr_ready','failed'))"""
+_FRAGMENTS = """
+  frag AS (SELECT CAST(user_id * 20 + event_id % 13 AS VARCHAR) AS job_id, CAST(floor(event_id / 13.0) AS BIGINT) % 3 AS chunk_index, event_id,
+             CASE event_type WHEN 'view' THEN NULL WHEN 'error' THEN 'different' WHEN 'click' THEN 'content_equal' ELSE 'identical' END AS verdict,
+             event_type IN ('purchase', 'signup') AS identical, CASE WHEN event_type IN ('purchase', 'signup') THEN NULL ELSE CAST(event_id AS VARCHAR) END AS difference FROM events),
+  once AS (SELECT * FROM frag QUALIFY row_number() OVER (PARTITION BY job_id, chunk_index ORDER BY event_id) = 1),
+  merged AS (SELECT job_id, bool_and(identical) AS same, bool_or(coalesce(verdict, 'different') = 'different') AS diff, bool_or(coalesce(verdict = 'content_equal', FALSE)) AS eq,
+               count(difference) AS nd, coalesce(string_agg(difference, ',' ORDER BY chunk_index), '') AS differences FROM once GROUP BY 1 HAVING count(*) >= 3)"""
+_VERDICT = "CASE WHEN same AND nd = 0 THEN 'identical' WHEN diff THEN 'different' WHEN eq THEN 'content_equal' ELSE 'different' END"
+_TAGS = lambda *pairs: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for t, n in pairs) + "], lambda x: x IS NOT NULL)), ',')"
+_FOLD = lambda x: f"replace(lower({_literal_key(x)}), ' ', '')"
+_WORDS = lambda x: f"regexp_extract_all({x}, '[A-Za-zА-Яа-яЁё]+')"
+_LOWER = lambda x: f"list_transform({_WORDS(x)}, lambda w: lower(w))"
+_B = rf"(?:^|$|{_W})"
+_PROTECTION = _TAGS(
+    ("(list_contains(lw, 'не') <> list_contains(rw, 'не')) OR (list_contains(lw, 'без') <> list_contains(rw, 'без'))", "negation"),
+    ("wa <> wb", "word_change"),
+    (rf"regexp_matches(c, '[\p{{Nd}}²³¹]') AND NOT regexp_matches(a, '{_NUMBERING}') AND NOT regexp_matches(b, '{_NUMBERING}')", "body_number"),
+    (r"regexp_matches(c, '(^|[^\p{L}\p{N}_])(\p{Nd}{1,2}[./-]\p{Nd}{1,2}[./-]\p{Nd}{2,4}|\p{Nd}{4}[./-]\p{Nd}{1,2}[./-]\p{Nd}{1,2})([^\p{L}\p{N}_]|$)')", "date"),
+    (r"regexp_matches(c, '(?i)(^|[^\p{L}\p{N}_])\p{Nd}[\p{Nd}\s\x{a0}]*([.,]\p{Nd}+)?\s*(руб(лей)?|коп(еек)?|USD|EUR)([^\p{L}\p{N}_]|$)')", "amount"),
+    (r"regexp_matches(c, '(^|[^\p{L}\p{N}_])[A-ZА-ЯЁ]{2,8}([^\p{L}\p{N}_]|$)')", "abbreviation"),
+    ("len(wa) > 1 OR len(wb) > 1", "phrase"),
+)
+_PROTECTED = f"""{_LINE_PAIRS},
+  worded AS (SELECT *, a || ' ' || b AS c, {_WORDS('a')} AS wa, {_WORDS('b')} AS wb, {_LOWER('a')} AS lw, {_LOWER('b')} AS rw FROM line_pairs),
+  tagged AS (SELECT job_id, line_no, {_PROTECTION} AS tags FROM worded)"""
+_KIND = rf"""CASE WHEN contains(l, '|') THEN 'table_row'
+  WHEN regexp_matches(l, '^{_S}*(?:[•*–—-]|\p{{Nd}}+[.)]|[A-Za-zА-Яа-яЁё][.)]){_S}+[^\s]') THEN 'list_item'
+  WHEN length(l) <= 120 AND (regexp_matches(l, '^\p{{Nd}}+(?:\.\p{{Nd}}+)*\.?{_S}+[^\s]') OR (length({_re('l', r'[^\p{L}]')}) > 0
+    AND length({_re('l', r'[^\p{Lu}]')}) / length({_re('l', r'[^\p{L}]')}) >= 0.7 AND NOT regexp_matches(l, '[.!?…;:]$'))) THEN 'heading' END"""
+_TECH = f"""CASE WHEN a <> b AND {_DASH.format(x='a')} = {_DASH.format(x='b')} THEN 'dash' WHEN contains(a || b, '**') OR contains(a || b, '#') THEN 'markdown'
+  WHEN regexp_matches(a, '{_NUMBERING}') OR regexp_matches(b, '{_NUMBERING}') THEN 'numbering' WHEN {_literal_key('a')} = {_literal_key('b')} THEN 'line_wrap' ELSE 'numbering' END"""
+_AS_OF = "TIMESTAMP '2024-01-20 00:00:00'"
+_CLIP = "CASE WHEN length(t) > 200 THEN " + _re("substring(t, 1, 199)", rf"{_S}+$") + " || '…' ELSE t END"
+
+ORACLES: dict[str, str] = {
+    "normalize_technical_docs": f"SELECT doc_id, length(t) AS n, sha256(t) AS sha FROM (SELECT doc_id, {_layout_free('text')} AS t FROM documents)",
+    "collapse_whitespace_docs": f"SELECT doc_id, length(t) AS n, sha256(t) AS sha FROM (SELECT doc_id, {_literal_key('text')} AS t FROM documents)",
+    "alignment_key_docs": f"""WITH n AS (SELECT doc_id, {_DASH.format(x=_layout_free('text'))} AS t FROM documents),
+      l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM n),
+      k AS (SELECT doc_id, {_squeeze("coalesce(string_agg(" + _line_key('line') + ", ' ' ORDER BY i) FILTER (WHERE " + _strip('line') + " <> ''), '')")} AS t FROM l GROUP BY doc_id)
+      SELECT doc_id, length(t) AS n, sha256(t) AS sha FROM k""",
+    "clip_docs": f"SELECT doc_id, {_CLIP} AS clipped FROM (SELECT doc_id, {_squeeze('text')} AS t FROM documents)",
+    "token_counts": rf"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_types FROM (SELECT doc_id, regexp_extract_all(text, '{_W}+|[^\p{{L}}\p{{N}}_\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]') AS t FROM documents)",
+    "line_kind_counts": f"SELECT coalesce({_KIND}, 'text') AS kind, count(*) AS n FROM (SELECT {_strip('line')} AS l FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1",
+    "change_tags_pairs": f"WITH {_LINE_PAIRS}, f AS (SELECT *, a || b AS c, {_FOLD('a')} AS l, {_FOLD('b')} AS r FROM line_pairs) SELECT job_id, line_no, "
+    + _TAGS(
+        ("TRUE", "literal"), (r"regexp_matches(c, '\p{L}')", "word"), (r"regexp_matches(c, '[\p{Nd}²³¹]')", "digit"), (r"regexp_matches(c, '[^\p{L}\p{N}\s\x{a0}]')", "punctuation"),
+        ("a <> b AND lower(a) = lower(b)", "case"), ("('не' || r = l) OR ('не' || l = r)", "prefix_ne"), ("('без' || r = l) OR ('без' || l = r)", "prefix_bez"),
+    )
+    + " AS tags FROM f",
+    "protection_tags_pairs": f"WITH {_PROTECTED} SELECT job_id, line_no, tags FROM tagged",
+    "safety_gate": f"""WITH {_PROTECTED} SELECT job_id, line_no, CASE WHEN tags <> '' THEN 'substantive' ELSE 'ocr_uncertain' END AS category, CAST(NULL AS VARCHAR) AS technical_type,
+      'safety_override' AS classified_by, CASE WHEN tags <> '' THEN 'protected_content' ELSE 'unproven_technical' END AS reason FROM tagged""",
+    "technical_type_pairs": f"WITH {_LINE_PAIRS} SELECT job_id, line_no, a <> b AND {_DASH.format(x='a')} = {_DASH.format(x='b')} AS dash, {_TECH} AS technical_type FROM line_pairs",
+    "numbering_words": f"SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n]')) AS w FROM documents) WHERE regexp_matches(w, '{_NUMBERING}') GROUP BY 1",
+    "model_answers": "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(1 AS BIGINT) END AS n, CASE WHEN event_type = 'error' THEN NULL ELSE 'e' || event_id END AS candidate_id FROM events",
+    "special_blocks": f"""WITH l AS (SELECT doc_id, unnest(string_split({_layout_free('text')}, chr(10))) AS l FROM documents), k AS (SELECT doc_id, {_KIND} AS kind FROM l)
+      SELECT doc_id, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY 1, 2""",
+    "pair_verdict_literal": f"WITH {_PAIRS} SELECT CASE WHEN {_literal_key('text1')} = {_literal_key('text2')} THEN 'identical' ELSE 'different' END AS verdict, count(*) AS n FROM pairs GROUP BY 1",
+    "identity_short_circuit": f"""WITH {_SIDES}, d AS (SELECT job_id, side, string_agg(text, chr(10) || chr(10) ORDER BY page) AS t FROM pages_ GROUP BY 1, 2)
+      SELECT x.job_id, {_literal_key('x.t')} = {_literal_key('y.t')} AS identical FROM d x JOIN d y ON x.job_id = y.job_id AND x.side = 1 AND y.side = 2""",
+    "validate_batch": """WITH b AS (SELECT event_id, CAST(floor(event_id / 6.0) AS BIGINT) AS k, event_type FROM events), g AS (SELECT k, bool_and(event_type <> 'error') AS ok, count(*) AS n FROM b GROUP BY 1)
+      SELECT CASE WHEN ok THEN 'substantive' ELSE 'ocr_uncertain' END AS category, CASE WHEN ok THEN 'r' ELSE 'invalid_response' END AS reason, CASE WHEN ok THEN 'llm' ELSE 'fallback' END AS classified_by,
+        ok AS parse_ok, CAST(sum(n) AS BIGINT) AS n, max(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS confidence FROM g GROUP BY ok""",
+    "chunk_completeness": f"WITH {_CONV} SELECT job_id, count(*) AS stored_chunks FROM (SELECT job_id, page_number FROM conv GROUP BY 1, 2 HAVING count(DISTINCT side) = 2) GROUP BY 1",
+    "document_assembly": f"""WITH {_CONV}, p AS (SELECT *, CASE WHEN page_number % 2 = 0 THEN 'n' || page_number ELSE '' END AS filename FROM conv)
+      SELECT job_id, side, coalesce(min_by(filename, page_number) FILTER (WHERE filename <> ''), 'file' || side) AS filename, count(*) FILTER (WHERE page_number <> 3) AS n_pages,
+        sha256(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_number) FILTER (WHERE page_number <> 3 AND text <> ''), '')) AS sha FROM p GROUP BY 1, 2""",
+    "page_upserts": """SELECT l_orderkey AS job_id, l_linenumber AS page_number, CAST(l_partkey % 2 + 1 AS INTEGER) AS side, l_partkey FROM lineitem
+      QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey % 2 ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, CAST(l_quantity AS BIGINT) DESC) = 1""",
+    "terminal_skip": f"WITH {_JOBS} SELECT l_orderkey AS job_id, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT job_id FROM jobs_ WHERE status = 'completed') GROUP BY 1",
+    "ready_jobs": f"WITH {_JOBS} SELECT job_id, user_id FROM jobs_ WHERE status = 'ocr_ready' AND NOT comparison_claimed AND processed_chunks >= 4",
+    "total_chunks_max": f"WITH {_LOG} SELECT job_id, max(total_chunks) AS total_chunks, min_by(ts, seq) AS created_at, max_by(ts, seq) AS updated_at FROM log GROUP BY 1",
+    "list_jobs_by_owner": "SELECT o_custkey AS user_id, o_orderkey AS job_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS position FROM orders",
+    "latest_result": "SELECT o_custkey AS job_id, o_orderkey AS result_id, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "events_after": f"WITH {_LOG}, s AS (SELECT job_id, seq AS event_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS seq FROM log) SELECT * FROM s WHERE seq > 50",
+    "run_numbers": f"WITH {_LOG} SELECT job_id, count(*) AS runs FROM log WHERE status = 'ocr_ready' GROUP BY 1",
+    "state_transitions": f"""WITH {_LOG}, {_TRANSITIONS}, s AS (SELECT lag(status) OVER (PARTITION BY job_id ORDER BY ts, seq) AS from_status, status AS to_status FROM log)
+      SELECT from_status, to_status, count(*) AS n, CASE WHEN from_status = to_status THEN from_status <> 'failed' ELSE bool_or(f IS NOT NULL) END AS legal
+      FROM s LEFT JOIN moves ON f = from_status AND t = to_status WHERE from_status IS NOT NULL GROUP BY 1, 2""",
+    "upsert_job_current": f"""WITH RECURSIVE {_LOG}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS k, count(*) OVER (PARTITION BY job_id) AS n FROM log),
+      r AS (SELECT job_id, k, n, status, greatest(total_chunks, 0) AS total_chunks, message, file1_name FROM o WHERE k = 1 UNION ALL
+        SELECT o.job_id, o.k, o.n, CASE WHEN o.status = 'failed' THEN 'failed' WHEN r.status IN ('ocr_ready', 'failed') AND o.status IN ('queued', 'preparing', 'processing') THEN r.status ELSE o.status END,
+          CASE WHEN o.total_chunks > 0 THEN greatest(r.total_chunks, o.total_chunks) ELSE r.total_chunks END, CASE WHEN o.message <> '' THEN o.message ELSE r.message END,
+          CASE WHEN o.file1_name <> '' THEN o.file1_name ELSE r.file1_name END FROM r JOIN o ON o.job_id = r.job_id AND o.k = r.k + 1)
+      SELECT job_id, status, CAST(total_chunks AS INTEGER) AS total_chunks, message, file1_name, '' AS file2_name, n AS n_writes FROM r WHERE k = n""",
+    "state_replay": f"""WITH RECURSIVE {_LOG}, {_TRANSITIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS k, count(*) OVER (PARTITION BY job_id) AS n FROM log),
+      r AS (SELECT job_id, k, n, status, CAST(0 AS BIGINT) AS moves, CAST(0 AS BIGINT) AS illegal FROM o WHERE k = 1 UNION ALL
+        SELECT o.job_id, o.k, o.n, CASE WHEN ok THEN o.status ELSE r.status END, r.moves + CAST(ok AS BIGINT), r.illegal + CAST(NOT ok AS BIGINT)
+        FROM r JOIN o ON o.job_id = r.job_id AND o.k = r.k + 1, LATERAL (SELECT CASE WHEN r.status = o.status THEN r.status <> 'failed' ELSE (r.status || '>' || o.status) IN (SELECT f || '>' || t FROM moves) END AS ok))
+      SELECT job_id, status, moves, illegal FROM r WHERE k = n""",
+    "recover_leases": f"""WITH {_JOBS} SELECT job_id, CASE WHEN dead THEN 'failed' ELSE 'running' END AS run_status, CASE WHEN dead THEN 'restarted' END AS error_message,
+        CASE WHEN dead THEN 'ocr_ready' ELSE status END AS job_status, CASE WHEN dead THEN FALSE ELSE comparison_claimed END AS comparison_claimed
+      FROM (SELECT *, coalesce(lease_owner = 'w1' OR lease_owner IS NULL OR created_at < TIMESTAMP '1997-01-01 00:00:00', TRUE) AS dead FROM jobs_) WHERE status = 'comparing'""",
+    "job_progress": "SELECT l_orderkey AS job_id, count(DISTINCT l_linenumber) AS done, count(DISTINCT l_linenumber) >= 4 AS complete, count(DISTINCT l_linenumber) || '/4' AS progress_text FROM lineitem GROUP BY 1",
+    "guarded_status": f"""WITH {_JOBS}, h AS (SELECT *, job_id % 2 = 0 AS hit, status = 'completed' AS sticky FROM jobs_)
+      SELECT job_id, CASE WHEN hit AND NOT sticky THEN 'failed' ELSE status END AS status, CASE WHEN hit AND NOT sticky THEN 'x' ELSE 'm' END AS message, CASE WHEN hit THEN 'pipeline_error' END AS failure_code,
+        CASE WHEN hit AND NOT sticky THEN {_AS_OF} END AS failed_at, CASE WHEN hit THEN FALSE ELSE comparison_claimed END AS comparison_claimed, CASE WHEN NOT hit THEN lease_owner END AS lease_owner, CAST(1 + CAST(hit AS INTEGER) AS INTEGER) AS state_version FROM h""",
+    "inbox_dedupe": "SELECT event_type AS consumer_group, user_id % 40 AS event_id, arg_min(e.event_id, (ts, e.event_id)) AS first_event FROM events e GROUP BY 1, 2",
+    "lease_next": f"""WITH w AS (SELECT event_id AS task_id, event_type AS stage, ts, event_id % 9 AS attempt, CASE WHEN event_id % 4 = 0 THEN 'leased' WHEN event_id % 11 = 0 THEN 'completed' ELSE 'pending' END AS status FROM events)
+      SELECT stage, task_id, 'leased' AS status, attempt + 1 AS attempt, {_AS_OF} + INTERVAL 900 SECOND AS lease_expires_at FROM w
+      WHERE ts <= {_AS_OF} AND (status = 'pending' OR (status = 'leased' AND ts < {_AS_OF})) QUALIFY row_number() OVER (PARTITION BY stage ORDER BY ts, task_id) = 1""",
+    "retry_backoff": "SELECT event_id AS task_id, CASE WHEN event_id % 9 >= 8 THEN 'failed' ELSE 'pending' END AS status, CAST(least(60, pow(2, event_id % 9)) AS BIGINT) AS delay FROM events",
+    "outbox_claim": f"""SELECT event_id, CAST(user_id AS VARCHAR) AS job_id FROM events WHERE event_type <> 'purchase' AND (event_id % 5 <> 0 OR ts < {_AS_OF} - INTERVAL 30 SECOND) ORDER BY ts, event_id LIMIT 20""",
+    "outbox_lag": f"SELECT CAST(coalesce(epoch({_AS_OF}) - floor(epoch(min(ts) FILTER (WHERE event_type <> 'purchase'))), 0) AS BIGINT) AS lag_seconds FROM events",
+    "dead_letters": f"""WITH {_CONV} SELECT job_id, page_number AS chunk_index, CASE WHEN max(text) FILTER (WHERE side = 1) IS NOT NULL THEN '[omitted]' END AS content1, length(max(text) FILTER (WHERE side = 1)) AS chars1,
+        length(max(text) FILTER (WHERE side = 2)) AS chars2, CAST(500 AS BIGINT) AS error_chars FROM conv GROUP BY 1, 2""",
+    "object_digest": "SELECT page_id, sha256(html) AS sha256, octet_length(encode(html)) AS size_bytes FROM pages",
+    "merge_fragments": f"WITH {_FRAGMENTS} SELECT job_id, same AND nd = 0 AS identical, {_VERDICT} AS verdict, differences FROM merged",
+    "stream_results": f"WITH {_FRAGMENTS} SELECT job_id, same AND nd = 0 AS identical, {_VERDICT} AS verdict, nd AS n_differences FROM merged",
+    "legacy_verdict": f"WITH {_FRAGMENTS} SELECT identical, coalesce(verdict, CASE WHEN identical THEN 'identical' ELSE 'different' END) AS verdict, count(*) AS n FROM frag GROUP BY 1, 2",
+    "stream_completeness": f"""WITH {_CONV}, c AS (SELECT job_id, page_number, count(DISTINCT side) AS s FROM conv GROUP BY 1, 2)
+      SELECT job_id, count(*) FILTER (WHERE s = 2) AS stored_chunks, count(*) FILTER (WHERE s = 2) >= max(page_number) AS ready FROM c GROUP BY 1""",
+    "stream_dedupe": "SELECT DISTINCT event_type AS consumer_group, user_id % 40 AS event_id FROM events",
+}
