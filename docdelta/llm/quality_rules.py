@@ -117,10 +117,10 @@ def _histograms(t: DataFrame) -> DataFrame:
 
 
 def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of equal length, base 2; rounded to 12 places."""
+    """Jensen-Shannon distance of two histograms of equal length, base 2; rounded to 9 places."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     both = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
-    return F.round(F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2)), 12)
+    return F.round(F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2)), 9)
 
 
 def judge(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.llm import chat, decontaminate, pieces, pii, quality_mil, quality_rules, shards, simhash, toxicity, warc
+from docdelta.llm import chat, decontaminate, oracles, pieces, pii, quality_mil, quality_rules, shards, simhash, toxicity, warc
 from docdelta.plans.scratch import scratch_path
 from docdelta.sources.tables import read_table
 
@@ -64,7 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
