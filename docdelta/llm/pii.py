@@ -87,13 +87,18 @@ def _nibbles(seed: Column, n: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 64).cast("int")), lambda i: F.sha2(F.concat_ws("|", seed, i.cast("string")).cast("binary"), 256)), "")
 
 
-def _like(text: Column, seed: Column) -> Column:
-    """Each letter or digit by another of its class; the rest stays."""
-    return bind(_nibbles(seed, F.length(text) * 2), lambda stream: _like_stream(text, stream))
+def _like(text: Column, seed: Column, skip: bool = False) -> Column:
+    """Each letter or digit by another of its class; the rest stays.
+
+    With ``skip``, separators do not count, so that a number written with and
+    without them gets the same digits.
+    """
+    return bind(_nibbles(seed, F.length(text) * 2), lambda stream: _like_stream(text, stream, skip))
 
 
-def _like_stream(text: Column, stream: Column) -> Column:
-    value = lambda i: F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+def _like_stream(text: Column, stream: Column, skip: bool) -> Column:
+    place = lambda i: F.length(F.regexp_replace(F.substring(text, F.lit(1), i), r"[^\p{L}\p{N}]", "")) if skip else i
+    value = lambda i: F.conv(F.substring(stream, place(i) * 2 + 1, F.lit(2)), 16, 10).cast("int")
     shift = lambda code, low, span, i: F.char(F.lit(low) + (code - low + value(i)) % span)
     cyr = lambda low, i: F.substring(F.lit("абвгдежзиклмнопрстуфхцчшэюя" if low else "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), value(i) % 27 + 1, F.lit(1))
 
@@ -171,9 +176,9 @@ def _drawn(entity: Column, kind: Column, seed: Column) -> Column:
         F.when(kind == "email", F.concat(_like(local, seed), F.lit("@"), _like(F.substring_index(domain, ".", 1), F.sha2(seed.cast("binary"), 256)), F.lit(".example.org")))
         .when(kind == "secret", F.concat(start, F.when(hexadecimal, _hex_like(value, seed)).otherwise(_like(value, seed))))
         .when(kind == "ipv4", _octets(entity, seed))
-        .when(kind == "card", bind(_like(entity, seed), lambda like: _luhn(entity, like)))
+        .when(kind == "card", bind(_like(entity, seed, skip=True), lambda like: _luhn(entity, like)))
         .when(kind == "name", _named(entity, seed))
-        .otherwise(_like(entity, seed))
+        .otherwise(_like(entity, seed, skip=True))
     )
 
 
