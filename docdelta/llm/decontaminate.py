@@ -89,6 +89,7 @@ def find(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, limit: int = 1_000_000, **how) -> DataFrame:
     """The rows that overlap no item; rows without doc_id go together if one of them overlaps."""
-    ids = materialize(find(docs, items, **how).select(F.col("doc_id").alias("id")).distinct(), "contaminated")
+    name = "id" + "_" * max(map(len, docs.columns))  # no column of the documents is as long
+    ids = materialize(find(docs, items, **how).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
     ids = F.broadcast(ids) if ids.count() <= limit else ids
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").select(*docs.columns)
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)

@@ -127,6 +127,8 @@ def parse_record(data: bytes, pos: int) -> tuple[dict, int]:
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     if not re.fullmatch(r"\d{1,18}", head.get("content-length", "")):
         raise Damaged("content length")
+    if not {"warc-type", "warc-record-id", "warc-date"} <= head.keys():
+        raise Damaged("mandatory field")
     low = end + 4
     high = low + int(head["content-length"])
     if data[high : high + 4] != b"\r\n\r\n":
