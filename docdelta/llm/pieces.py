@@ -42,24 +42,35 @@ BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _WORDS = re.compile(rf"{BLANK}*[^{BLANK}\n]+|\n|{BLANK}+")
 NEVER = np.int64(1) << 40
+LEARN = 30_000
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by the ``depth`` codes that follow; doubling, so log2(depth) sorts."""
-    _, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    width = 1
-    order = np.argsort(rank, kind="stable")
+    """Positions sorted by the ``depth`` codes that follow.
+
+    As many codes as fit are packed into one number, which is ranked; ranks are
+    then doubled in width until ``depth`` is reached.
+    """
+    there = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+    there[codes] = 1
+    dense = np.cumsum(there)[codes]
+    bits = int(dense.max(initial=1)).bit_length()
+    width = max(1, 62 // bits)
+    key = np.zeros(len(dense), np.int64)
+    padded = np.r_[dense, np.zeros(width, np.int64)]
+    for i in range(width):
+        key = (key << bits) | padded[i : i + len(dense)]
+    order = np.argsort(key)
     while width < depth:
-        after = np.zeros_like(rank)
-        after[:-width] = rank[width:]
-        key = rank * (rank.max() + 1) + after
-        order = np.argsort(key, kind="stable")
         sorted_key = key[order]
-        rank = np.empty_like(rank)
+        rank = np.empty_like(key)
         rank[order] = np.r_[1, 1 + np.cumsum(sorted_key[1:] != sorted_key[:-1])]
-        if rank.max() == len(rank):
+        if rank.max(initial=0) == len(rank):
             break
+        after = np.zeros_like(rank)
+        after[:-width] = rank[width:]
+        key = rank * (len(rank) + 1) + after
+        order = np.argsort(key)
         width *= 2
     return order
 
@@ -192,7 +203,7 @@ def _bound(column: np.ndarray, low: np.ndarray, high: np.ndarray, want: np.ndarr
 
 
 def lattice(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (begin, end, piece) in the joined words, sorted by end and begin; and where words begin."""
+    """Edges (begin, end, piece) in the joined words, and where words begin."""
     lengths = np.array([len(w) for w in words], np.int64)
     starts = np.r_[0, np.cumsum(lengths + 1)[:-1]]
     codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -209,23 +220,34 @@ def lattice(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np
     piece = np.repeat(v.search_ids, count)
     begin = order[np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
     end = begin + np.repeat(size, count)
-    by = np.argsort(end, kind="stable")
-    return begin[by], end[by], piece[by], starts
+    return begin, end, piece, starts
 
 
-def relax(words: list[str], v: Vocabulary) -> list[list[int]]:
-    """Piece ids of every word; words are relaxed side by side, one position after the other."""
-    begin, end, piece, starts = lattice(words, v)
+def _by_position(at: np.ndarray) -> np.ndarray:
+    """Sorts small numbers (by radix where they fit 16 bits)."""
+    return np.argsort(at.astype(np.uint16) if at.max(initial=0) < 1 << 16 else at, kind="stable")
+
+
+def relax(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all words one after the other, and how many each word has.
+
+    Edges are sorted by the position in the word at which they end; words are
+    relaxed side by side, one position after the other. -1 stands for a
+    character without piece.
+    """
     lengths = np.array([len(w) for w in words], np.int64)
-    word = np.searchsorted(starts, begin, side="right") - 1
+    if not len(words):
+        return np.zeros(0, np.int64), lengths
+    begin, end, piece, starts = lattice(words, v)
+    word = np.repeat(np.arange(len(words)), lengths + 1)[begin]
     at = end - starts[word]
-    by = np.argsort(at, kind="stable")
-    begin, end, piece, word, at = begin[by], end[by], piece[by], word[by], at[by]
-    total = int(starts[-1] + lengths[-1] + 1) if len(words) else 0
-    last = np.full(total + 1, -2, np.int64)  # piece that ends here; -1: a character without piece
+    by = _by_position(at)
+    begin, piece, word, at = begin[by], piece[by], word[by], at[by]
+    total = int(starts[-1] + lengths[-1] + 1)
+    last = np.full(total + 1, -2, np.int64)  # piece that ends here
     back = np.full(total + 1, -1, np.int64)
     last[starts] = -1
-    longest = int(lengths.max(initial=0))
+    longest = int(lengths.max())
     cuts = np.searchsorted(at, np.arange(1, longest + 2))
     for k in range(1, longest + 1):
         e = slice(cuts[k - 1], cuts[k])
@@ -234,53 +256,76 @@ def relax(words: list[str], v: Vocabulary) -> list[list[int]]:
         good = before == -1
         check = np.flatnonzero(before >= 0)
         if len(check):
-            key = before[check] * v.n + p[check]
-            pairs, inverse = np.unique(key, return_inverse=True)
+            pairs, inverse = np.unique(before[check] * v.n + p[check], return_inverse=True)
             good[check] = v.apart(pairs // v.n, pairs % v.n)[inverse]
-        stop = b[good] + (starts[w[good]] + k - b[good])
+        stop = starts[w[good]] + k
         last[stop], back[stop] = p[good], b[good]
-        # Characters without a piece stand alone.
         here = starts[lengths >= k] + k
         none = here[last[here] == -2]
         last[none], back[none] = -1, none - 1
-    out = []
-    for s, n in zip(starts.tolist(), lengths.tolist()):
-        ids, pos = [], s + n
-        while pos > s:
-            ids.append(int(last[pos]))
-            pos = int(back[pos])
-        out.append(ids[::-1])
-    return out
+    # Back from every end, all words at once.
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    live, pos, turn = np.flatnonzero(lengths > 0), (starts + lengths)[lengths > 0], 0
+    while len(live):
+        found.append((live, last[pos], np.full(len(live), turn)))
+        pos = back[pos]
+        on = pos > starts[live]
+        live, pos, turn = live[on], pos[on], turn + 1
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+    of, ids, turns = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(of * (turn + 1) + (turn - turns))
+    return ids[order], np.bincount(of, minlength=len(words))
 
 
 class Encoder:
     """Encodes batches; keeps the words it has seen, up to a bound."""
 
-    def __init__(self, v: Vocabulary, keep: int = 300_000) -> None:
+    def __init__(self, v: Vocabulary, keep: int = 200_000) -> None:
         self.v, self.keep = v, keep
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        self.flat = np.zeros(0, np.int32)
+        self.begin = np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        core = [w.lstrip(BLANK) for w in words]
-        runs = [len(w) - len(c) for w, c in zip(words, core, strict=True)]
-        inner = sorted({BLANK * min(r, 1) + c for c, r in zip(core, runs, strict=True) if c})
-        got = dict(zip(inner, relax(inner, self.v), strict=True))
-        blank = self.v.id_of[BLANK]
-        for w, c, r in zip(words, core, runs, strict=True):
-            ids = got[BLANK * min(r, 1) + c] if c else []
-            if r > 1 or not c:
-                alone = bool(ids) and ids[0] == blank
-                ids = self.v.merge(BLANK * (r if alone or not c else r - 1)) + ids[alone:]
-            if -1 in ids:
-                ids = self._bytes(w, ids)
-            self.at[w] = len(self.sizes)
-            self.flat.append(np.array(ids, np.int32))
-            self.sizes.append(len(ids))
+        for low in range(0, len(words), LEARN):  # bounds the edges that are held at once
+            self._learn_some(words[low : low + LEARN])
+
+    def _learn_some(self, words: list[str]) -> None:
+        plain = [w for w in words if not w.startswith(BLANK + BLANK) and w != BLANK]
+        ids, sizes = relax(plain, self.v)
+        odd = [w for w in words if w.startswith(BLANK + BLANK) or w == BLANK]
+        if (ids < 0).any():  # words with characters that have no piece, by bytes
+            ends = np.cumsum(sizes)
+            missing = np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), side="right")).tolist()
+            parts = {i: self._bytes(plain[i], ids[ends[i] - sizes[i] : ends[i]].tolist()) for i in missing}
+            keep = np.ones(len(plain), bool)
+            keep[missing] = False
+            ids, sizes = ids[np.repeat(keep, sizes)], sizes[keep]
+            plain = [w for w, k in zip(plain, keep.tolist(), strict=True) if k] + [plain[i] for i in missing]
+            ids = np.concatenate([ids, *(np.array(p, np.int64) for p in parts.values())])
+            sizes = np.r_[sizes, [len(p) for p in parts.values()]]
+        if odd:  # runs of blanks
+            core = [w.lstrip(BLANK) for w in odd]
+            inner = sorted({BLANK + c for c in core if c})
+            got, n = relax(inner, self.v)
+            ends = np.cumsum(n)
+            of = {w: got[b - k : b].tolist() for w, b, k in zip(inner, ends.tolist(), n.tolist(), strict=True)}
+            parts = [self._bytes(w, self._run(len(w) - len(c), of[BLANK + c] if c else [])) for w, c in zip(odd, core, strict=True)]
+            ids = np.concatenate([ids, *(np.array(p, np.int64) for p in parts)])
+            sizes = np.r_[sizes, [len(p) for p in parts]]
+        base = len(self.begin) - 1
+        self.at.update(zip([*plain, *odd], range(base, base + len(sizes)), strict=True))
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes, dtype=np.int64)])
+
+    def _run(self, blanks: int, ids: list[int]) -> list[int]:
+        """A run of blanks before the pieces of a word that was given one blank."""
+        alone = not ids or ids[0] == self.v.id_of[BLANK]
+        return self.v.merge(BLANK * (blanks if alone else blanks - 1)) + (ids[1:] if ids and alone else ids)
 
     def _bytes(self, word: str, ids: list[int]) -> list[int]:
         out, pos = [], 0
@@ -303,9 +348,7 @@ class Encoder:
             self._learn(sorted(fresh))
         at = self.at
         index = np.fromiter((at[w] for ws in split for w in ws), np.int64)
-        flat = np.concatenate([*self.flat, np.zeros(0, np.int32)])
-        self.flat = [flat]
-        begin = np.r_[0, np.cumsum(self.sizes)].astype(np.int64)
+        flat, begin = self.flat, self.begin
         size = begin[index + 1] - begin[index]
         low = np.r_[0, np.cumsum(size)]
         ids = flat[np.repeat(begin[index] - low[:-1], size) + np.arange(low[-1])] if len(index) else np.zeros(0, np.int32)
@@ -341,7 +384,7 @@ def _coder(v: Vocabulary, batch_chars: int):
     return code
 
 
-def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, key: str = "doc_id", text: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, key: str = "doc_id", text: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
     """key, ids and decoded (the text read back from the ids) of every row."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
