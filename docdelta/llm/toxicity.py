@@ -163,7 +163,7 @@ def _scorer(model: Model):
             got = []
             for text in batch.column(1):
                 got.append(model.document(text.as_py(), known))
-                if len(known) > 1_000_000:
+                if len(known) > 200_000:
                     known.clear()
             spans = [[{"start": a, "stop": b, "score": p} for a, b, p in found] for _, found in got]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
@@ -183,7 +183,7 @@ def _filter(model: Model, threshold: float):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([model.document(t.as_py(), known)[0] < threshold for t in texts], pa.bool_()))
-            if len(known) > 1_000_000:
+            if len(known) > 200_000:
                 known.clear()
 
     return keep
