@@ -186,7 +186,12 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 4, broadcast_rows: int
     Of wholly equal rows one stays; rows without doc_id cannot be named as
     copies and stay.
     """
-    by_id = groups(docs, distance).filter(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    return keep_named(docs, groups(docs, distance), broadcast_rows)
+
+
+def keep_named(docs: DataFrame, grouped: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The documents that give their group (doc_id, component_id) its name."""
+    by_id = grouped.filter(F.col("doc_id").isNotNull()).groupBy("doc_id")
     by_id = materialize(by_id.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "verdicts")
     gone, repeated = by_id.filter("not stays").select("doc_id"), by_id.filter("n > 1").select("doc_id")
     sized = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_rows else ids

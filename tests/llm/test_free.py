@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
-from docdelta.llm import graph, pieces, quality_mil, simhash, toxicity, warc
+from docdelta.llm import graph, jaccard, pieces, quality_mil, simhash, toxicity, warc
 from pyspark.sql import functions as F
 
 from tests.llm.test_native import docs, items, prose
@@ -67,6 +67,33 @@ def test_near_duplicate_groups_match_brute_force(spark):
     assert simhash.groups(docs(spark, [])).count() == 0
 
 
+def test_jaccard_groups_match_brute_force_in_every_tiling(spark):
+    rng = random.Random(8)
+    texts, sets = {}, {}
+    for g in range(6):
+        base = prose(rng, 300)
+        for k in range(14):
+            words = list(base)
+            for at in rng.sample(range(300), rng.randint(0, 14)):
+                words[at] = f"w{rng.randrange(10**6)}"
+            texts[100 * g + k] = " ".join(words)
+    rows = [*texts.items(), (7007, None), (7008, " "), (7009, "one Two"), (7050, "One two"), (7050, "One two"), (None, "one two")]
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets.setdefault(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    near = [(i, j) for i in sets for j in sets if None not in (i, j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {i: i for i in sets if i is not None}
+    while any(want[i] > want[j] for i, j in near):
+        for i, j in near:
+            want[i] = min(want[i], want[j])
+    far = sum((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 4 for i, j in near if i in texts and j in texts and i < j)
+    assert far > 20  # op5's contract distance would miss these
+    for tile in (256, 5):
+        got = jaccard.groups(docs(spark, rows), tile=tile).collect()
+        assert Counter((r.doc_id, r.component_id) for r in got) == Counter((i, want[7009 if i is None else i]) for i, _ in rows)
+    assert jaccard.groups(docs(spark, [])).count() == 0
+
+
 def test_links_for_every_block_count_and_tiles(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 2**63, 4, dtype=np.uint64)
