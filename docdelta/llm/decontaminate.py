@@ -1,17 +1,26 @@
-"""Benchmark decontamination by spaced-seed hashing (native).
-
-Texts become lower-case runs of letters and digits. At every position each
-fixed mask picks some of the next tokens and ignores the others; the picked
-tokens are hashed. Test hashes join training hashes. Around a hit, the test item
-is laid over the document on the hit's diagonal and compared token by token, so
-substitutions at ignored or other positions do no harm. A pair is reported where
-at least ``overlap`` of the item's tokens agree.
-
-Items shorter than a mask's span use one contiguous seed of their own length.
+"""Benchmark decontamination by seed hashing (native).
+
+Texts become lower-case runs of letters and digits. Seeds pick tokens at fixed
+distances; the picked tokens are hashed and test hashes join training hashes.
+Where an item and a document agree on enough seeds of one diagonal, the item is
+laid over the document there and compared token by token.
+
+An item of n tokens is reported where, in one document,
+    at least ``overlap`` of its tokens agree on one diagonal, or
+    at least ``overlap`` of its tokens agree on any diagonals together, counting
+    only those within a window of ``WINDOW`` tokens that agrees in ``DENSE`` of
+    them (so words that were put in or left out do no harm), or
+    ``RUN`` tokens in a row agree.
+
+No such pair is missed at the default overlap. Of n tokens with a agreeing, at
+least 2a - n - 1 neighbours agree in pairs: for 60 % that is one pair or more for
+every n but 1, 3 and 5 (as 101 and 10101), which have masks of their own; a dense
+window has three pairs, a run more. That many seeds are asked for before a
+diagonal is compared.
 
 Defined cases
     null or empty texts and items without tokens: no hit; repeated documents:
-    each is reported; repeated items: each is reported; empty tables: no rows;
+    each is reported; repeated items: each is reported; short items: as any other; empty tables: no rows;
     ties between alignments: the earliest position; extra columns are ignored.
 
 Scale: the documents are read twice. They are never shuffled while the test
@@ -28,8 +37,9 @@ from pyspark.sql import functions as F
 from docdelta.llm.exprs import let
 from docdelta.plans.scratch import materialize
 
-# 1 marks a token that counts.
-MASKS = ("110110101101", "1110010110111")
+# 1 marks a token that counts; what is verified locally.
+PAIR, SHORT = "11", {1: ("1",), 3: ("11", "101"), 5: ("11", "101")}
+WINDOW, DENSE, RUN = 8, 6, 13
 
 
 def tokens_of(text: Column) -> Column:
@@ -49,39 +59,56 @@ def _placed(tokens: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
     return tokens.select(*keep, F.explode(F.concat(*map(each, masks))).alias("p")).select(*keep, "p.at", "p.hash")
 
 
-def find(
-    docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, overlap: float = 0.6, least: int = 8, broadcast_rows: int = 2_000_000
-) -> DataFrame:
+def _run(agree: Column) -> Column:
+    """The longest run of agreeing tokens."""
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    def step(a: Column, x: Column) -> Column:
+        now = F.when(x, a["now"] + 1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(agree, zero, step, lambda a: a["most"])
+
+
+def _dense(agree: Column) -> Column:
+    """Positions that agree within a dense window."""
+    width = F.least(F.size(agree), F.lit(WINDOW))
+    at = lambda j: F.filter(F.sequence(j, j + width - 1), lambda i: F.get(agree, i))
+    windows = F.transform(F.sequence(F.lit(0), F.size(agree) - width), at)
+    return F.flatten(F.filter(windows, lambda w: F.size(w) * WINDOW >= width * DENSE))
+
+
+def find(docs: DataFrame, items: DataFrame, overlap: float = 0.6, broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row per document and item that overlap: doc_id, item_id, matched, item_tokens, at."""
-    span = min(map(len, masks))
     test = let(items.select("item_id", F.col("text")), toks=tokens_of(F.col("text")))
-    test = materialize(test.select("item_id", "toks", F.size("toks").alias("n")).filter(F.col("n") >= least), "items")
-    lengths = sorted(r["n"] for r in test.filter(F.col("n") < span).select("n").distinct().collect())  # fewer than span values
+    test = materialize(test.select("item_id", "toks", F.size("toks").alias("n")).filter("n > 0"), "items")
+    lengths = [r["n"] for r in test.filter(F.col("n").isin(*SHORT)).select("n").distinct().collect()]  # three values at most
     text = let(docs.select("doc_id", "text"), toks=tokens_of(F.col("text"))).select("doc_id", "toks", F.size("toks").alias("n"))
 
-    seeds = _placed(test.filter(F.col("n") >= span), ["item_id", "n"], list(masks))
+    seeds = _placed(test.filter(~F.col("n").isin(*SHORT)), ["item_id", "n"], [PAIR])
     for n in lengths:
-        seeds = seeds.union(_placed(test.filter(F.col("n") == n), ["item_id", "n"], ["1" * n]))
+        seeds = seeds.union(_placed(test.filter(F.col("n") == n), ["item_id", "n"], list(SHORT[n])))
     seeds = seeds.select("hash", "item_id", F.col("n").alias("item_tokens"), F.col("at").alias("item_at"))
     n_seeds = seeds.count()
-    hits = _placed(text, ["doc_id"], [*masks, *("1" * n for n in lengths)]).join(F.broadcast(seeds) if n_seeds <= broadcast_rows else seeds, "hash")
-    places = hits.select("doc_id", F.struct("item_id", "item_tokens", (F.col("at") - F.col("item_at")).alias("start")).alias("place")).distinct()
-    places = materialize(places, "places")
+    masks = sorted({PAIR, *(m for n in lengths for m in SHORT[n])})
+    hits = _placed(text, ["doc_id"], masks).join(F.broadcast(seeds) if n_seeds <= broadcast_rows else seeds, "hash")
+    places = hits.groupBy("doc_id", "item_id", "item_tokens", (F.col("at") - F.col("item_at")).alias("start")).count()
+    sure = 2 * F.ceil(overlap * F.col("item_tokens") - 1e-9) - F.col("item_tokens") - 1
+    places = materialize(places.filter(F.col("count") >= F.greatest(F.lit(1), F.least(F.lit(2 * DENSE - WINDOW - 1), sure))), "places")
 
-    by_doc = places.groupBy("doc_id").agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "id")
+    by_doc = places.groupBy(F.col("doc_id").alias("id"), "item_id").agg(F.collect_set("start").alias("starts"))
     if places.count() <= broadcast_rows:
         by_doc = F.broadcast(by_doc)
-    found = text.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")))
-    # The document below the item; what lies outside the document does not match.
-    found = found.select("doc_id", "toks", F.explode("places").alias("p"))
-    start, size = F.col("p.start"), F.col("p.item_tokens")
-    under = F.slice("toks", F.greatest(start, F.lit(0)) + 1, F.greatest(F.lit(0), size + F.least(start, F.lit(0))))
-    found = found.select("doc_id", "p.item_id", size.alias("item_tokens"), start.alias("start"), under.alias("under"))
-    found = found.join(test.select("item_id", "toks").withColumnRenamed("item_id", "item"), F.col("item_id").eqNullSafe(F.col("item")))
-    over = F.slice("toks", F.greatest(-F.col("start"), F.lit(0)) + 1, F.col("item_tokens"))
-    agree = F.filter(F.zip_with("under", over, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
-    best = found.select("doc_id", "item_id", "item_tokens", F.struct(F.size(agree).alias("matched"), (-F.col("start")).alias("minus")).alias("b"))
-    best = best.filter(F.col("b.matched") >= overlap * F.col("item_tokens")).groupBy("doc_id", "item_id").agg(F.max("b").alias("b"), F.max("item_tokens").alias("item_tokens"))
+    found = text.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", F.col("toks").alias("under"), "item_id", "starts")
+    found = found.join(test.select(F.col("item_id").alias("item"), "toks", "n"), F.col("item_id").eqNullSafe(F.col("item")))
+    # What lies outside the document does not match.
+    lay = lambda s: F.transform("toks", lambda t, i: F.when(s + i < 0, False).otherwise(F.coalesce(F.get("under", s + i) == t, F.lit(False))))
+    found = let(found.select("doc_id", "item_id", "n", "starts", "toks", "under"), laid=F.transform("starts", lay))
+    one = F.zip_with("starts", "laid", lambda s, a: F.struct(F.size(F.filter(a, lambda x: x)).alias("matched"), (-s).alias("minus")))
+    found = let(found.select("doc_id", "item_id", "n", "starts", "laid"), one=F.array_max(one), run=F.array_max(F.transform("laid", _run)), joined=F.size(F.array_distinct(F.flatten(F.transform("laid", _dense)))))
+    matched = F.greatest("one.matched", "joined")
+    best = found.filter((matched >= overlap * F.col("n")) | (F.col("run") >= RUN))
+    best = best.select("doc_id", "item_id", F.col("n").alias("item_tokens"), F.struct(matched.alias("matched"), F.col("one.minus").alias("minus")).alias("b"))
+    best = best.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"), F.max("item_tokens").alias("item_tokens"))
     return best.select(
         "doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), F.col("item_tokens").cast("long").alias("item_tokens"), (-F.col("b.minus")).cast("long").alias("at")
     )

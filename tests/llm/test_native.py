@@ -213,6 +213,36 @@ def test_leaks_are_found_with_substitutions(spark):
     assert {(r.doc_id, r.item_id) for r in shuffled.collect()} == want
 
 
+def test_leaks_at_the_limit_in_pieces_and_short(spark):
+    rng = random.Random(15)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    bench, rows, want = {}, [], set()
+
+    def case(words, found):
+        k = len(bench)
+        bench[k] = words
+        rows.append((k, " ".join([word() for _ in range(30)] + found + [word() for _ in range(30)])))
+        want.add((k, k))
+
+    for n in (16, 24, 40, 59):
+        for _ in range(5):
+            words = [word() for _ in range(n)]
+            gone = set(rng.sample(range(n), n - -(-3 * n // 5)))
+            case(words, [word() if i in gone else w for i, w in enumerate(words)])
+        words = [word() for _ in range(n)]
+        case(words, [word() if i % 4 == 3 else w for i, w in enumerate(words)])
+        case(words := [word() for _ in range(n)], words[: n // 2] + [word()] + words[n // 2 :])
+        case(words := [word() for _ in range(n)], words[: n // 2] + words[n // 2 + 1 :])
+    case(words := [word() for _ in range(59)], words[:29])
+    for n in range(1, 12):
+        for gap in range(n if n > 2 else 0):
+            case(words := [word() for _ in range(n)], [word() if i == gap else w for i, w in enumerate(words)])
+        case(words := [word() for _ in range(n)], words)
+    case(words := [word() for _ in range(5)], [w if i % 2 == 0 else word() for i, w in enumerate(words)])
+    got = decontaminate.find(docs(spark, rows), items(spark, [(i, " ".join(w)) for i, w in bench.items()]))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_leaks_at_the_edges_and_empty_tables(spark):
     words = prose(random.Random(6), 20)
     bench = items(spark, [(1, " ".join(words)), (2, " ".join(words))])
