@@ -63,7 +63,7 @@ PATTERNS = {
 }
 _ANY = r"(?<![\p{L}\p{N}_@.+-])(?:" + "|".join(PATTERNS.values()) + ")"
 # Every entity has one of these; a text without any is left as it is.
-_HINT = r"[0-9@=:]|\p{Lu}\p{Ll}+\.?\x20\p{Lu}"
+_HINT = rf"[0-9@=:]|\p{{Lu}}\p{{Ll}}+\.?\x20\p{{Lu}}|{_TITLE}\p{{Lu}}"
 
 
 def _starts(entity: Column, pattern: str) -> Column:

@@ -116,6 +116,13 @@ def test_pii_is_gone_and_clean_text_stays(spark):
     assert got[5] == PRIVATE[4][1] and got[6] == "" and got[7] is None
 
 
+def test_pii_needs_no_other_signs_in_the_text(spark):
+    names = ["el señor García", "herr Müller", "monsieur Dupont", "DR. Smith", "г-н Иванов", "Г-н Иванов", "FRAU Weber-Schmidt", "jennifer and Jennifer Miller", "Александр Петров"]
+    alone = ["a b.c@mail.example.com d", "password=abcdefgh1", "token: abcdefghij", "x 123-45-6789", "DE89370400440532013000", "97.51.17.173", "4111111111111111", "+491701234567", *names]
+    got = pii.replace(docs(spark, list(enumerate(alone))), count="k").collect()
+    assert all(r.k == 1 and r.text != alone[r.doc_id] for r in got)
+
+
 def test_pii_keeps_form_gender_script_and_coreference(spark):
     got = dict(replaced(spark, PRIVATE))
     hosts = [re.search(r"\d+\.\d+\.\d+\.\d+", got[k]).group() for k in (1, None)]
