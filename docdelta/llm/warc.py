@@ -10,6 +10,8 @@ Reading: a member or plain record has to pass its checks (gzip checksum, header
 form, Content-Length, closing blank lines, block digest). After a failed check
 the reader looks for the next gzip magic or version line that starts a valid
 record, recovers everything from there on, and logs the bytes between as a gap.
+Inside a member it goes on at the next version line, and of a broken member it
+keeps the records that inflated before the break.
 
 Defined cases
     null html: an empty payload; equal payloads: all rows that carry the
@@ -42,6 +44,8 @@ EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" "0300" "00000000" "00000000"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r\n")
+_VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
+_HEAD_END = re.compile(rb"\r\n\r\n|\r\n(?=WARC/\d+\.\d+\r\n)")
 _URN = "urn:docdelta:page:"
 
 
@@ -116,9 +120,10 @@ class Damaged(ValueError):
 
 def parse_record(data: bytes, pos: int) -> tuple[dict, int]:
     """The record at a version line, and the position behind it."""
-    end = data.find(b"\r\n\r\n", pos, pos + 65536)
-    if end < 0 or not re.match(rb"WARC/\d+\.\d+\r\n", data[pos : pos + 16]):
+    stop = _VERSION.match(data, pos) and _HEAD_END.search(data, pos)
+    if not stop or stop.group() != b"\r\n\r\n":
         raise Damaged("header")
+    end = stop.start()
     head: dict[str, str] = {}
     for line in data[pos:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -141,26 +146,67 @@ def parse_record(data: bytes, pos: int) -> tuple[dict, int]:
     return {"head": head, "http": http, "payload": payload}, high + 4
 
 
+def _inflate(data: bytes, pos: int, max_member: int) -> tuple[bytes, int, str]:
+    """What a member holds up to its end or its damage, the position behind it, and the damage."""
+    z, rest = zlib.decompressobj(31), memoryview(data)[pos:]
+    try:
+        inner = z.decompress(rest, max_member)
+        return inner, len(data) - len(z.unused_data or z.unconsumed_tail), "" if z.eof else "unended gzip member"
+    except zlib.error:
+        pass
+    # Once more in steps, the one that fails byte by byte.
+    z, out, at, step, size = zlib.decompressobj(31), [], 0, 4096, 0
+    while at < len(rest) and size < max_member:
+        before = z.copy() if step > 1 else None
+        try:
+            out.append(z.decompress(rest[at : at + step]))
+        except zlib.error:
+            if before is None:
+                break
+            z, step = before, 1
+            continue
+        size += len(out[-1])
+        at += step
+    return b"".join(out), pos + at, "gzip member"
+
+
+def _records(inner: bytes) -> tuple[list[dict], str]:
+    """All records of an inflated member that pass their checks, and the first failure."""
+    found, at, reason = [], 0, ""
+    while at < len(inner):
+        try:
+            record, at = parse_record(inner, at)
+            found.append(record)
+        except Damaged as e:
+            reason = reason or str(e)
+            ahead = _VERSION.search(inner, at + 1)
+            at = ahead.start() if ahead else len(inner)
+    return found, reason
+
+
 def salvage(data: bytes, max_member: int = 1 << 30) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, record) and ("gap", start, end, reason) over all bytes of an archive."""
+    """("record", start, end, record) and ("gap", start, end, reason) over all bytes of an archive.
+
+    Records out of a damaged member have the span of its gap.
+    """
     pos, gap, reason = 0, None, ""
+    kept, seen, until = [], [], 0  # records of the members in the gap; those and earlier ones up to where members were read
     while pos < len(data):
         try:
+            within = ""
             if data.startswith(MAGIC, pos):
-                z = zlib.decompressobj(31)
-                try:
-                    inner = z.decompress(memoryview(data)[pos:], max_member)
-                except zlib.error as e:
-                    raise Damaged("gzip member") from e
-                if not z.eof:
-                    raise Damaged("unended gzip member")
-                end = len(data) - len(z.unused_data)
-                found, at = [], 0
-                while at < len(inner):
-                    record, at = parse_record(inner, at)
-                    found.append(record)
+                inner, end, broken = _inflate(data, pos, max_member)
+                found, within = _records(inner)
+                if broken:
+                    kept, seen = kept + found, (seen if pos < until else []) + found
+                    until = max(until, end) if found else until
+                    raise Damaged(broken)
+                if within and not found:
+                    raise Damaged(within)
             else:
                 record, end = parse_record(data, pos)
+                if pos < until and record in seen:  # a member may hold its bytes as they are
+                    raise Damaged("gzip member")
                 found = [record]
         except Damaged as e:
             if gap is None:
@@ -170,12 +216,16 @@ def salvage(data: bytes, max_member: int = 1 << 30) -> Iterator[tuple[str, int,
             continue
         if gap is not None:
             yield "gap", gap, pos, reason
-            gap = None
+            yield from (("record", gap, pos, record) for record in kept)
+            gap, kept = None, []
+        if within:
+            yield "gap", pos, end, within
         for record in found:
             yield "record", pos, end, record
         pos = end
     if gap is not None:
         yield "gap", gap, len(data), reason
+        yield from (("record", gap, len(data), record) for record in kept)
 
 
 SCHEMA = "file string, start long, stop long, gap string, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, payload binary"

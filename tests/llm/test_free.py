@@ -183,6 +183,26 @@ def test_salvage_loses_only_damaged_records(packed):
     assert [f[0] for f in warc.salvage(b"".join(parts)[:-10])].count("record") >= 39
 
 
+def test_salvage_inside_members_and_long_headers():
+    plain = [warc.record_bytes(i, "u" * (70_000 if i == 3 else 5), random.Random(i).randbytes(900), None) for i in range(30)]
+    bad = bytearray(plain[11])
+    bad[-100] ^= 0xFF
+
+    def ids(data):
+        found = list(warc.salvage(data))
+        assert any(f[0] == "gap" for f in found)
+        return [int(f[3]["head"]["warc-record-id"].rsplit(":", 1)[1].strip(">")) for f in found if f[0] == "record"]
+
+    assert warc.parse_record(plain[3], 0)[1] == len(plain[3])
+    assert ids(warc.gzip_member(b"".join([*plain[:11], bytes(bad), *plain[12:]]))) == [*range(11), *range(12, 30)]
+    plain[3] = warc.record_bytes(3, "u", b"x" * 900, None)
+    for level in (6, 0):
+        whole = warc.gzip_member(b"".join(plain[:20]), level)
+        cut = ids(whole[: len(whole) // 2] + warc.gzip_member(plain[29]))
+        assert cut[0] == 0 and cut[-1] == 29 and 5 < len(cut) < 20 and cut == sorted(set(cut))
+        assert ids(whole[:-6] + b"zzzzzz") == list(range(20))
+
+
 # ---- classifiers ----------------------------------------------------------
 
 
