@@ -16,6 +16,7 @@ vectors; scoring is one pass without shuffle over whole texts.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,7 +51,7 @@ def encode(text: str | None) -> list[list[float]]:
         body = b" ".join(part)
         n, size = max(1, len(part)), max(1, len(body))
         shares = [(size - len(body.translate(None, c))) / size if body else 0.0 for c in _CLASSES]
-        kinds = set(part)
+        kinds = Counter(part)
         triples = [body_ for body_ in map(b" ".join, zip(part, part[1:], part[2:]))]
         fresh = set(triples)
         again = sum(t in seen for t in triples) / max(1, len(triples))
@@ -66,7 +67,7 @@ def encode(text: str | None) -> list[list[float]]:
                 min(mean / 20, 2.0),
                 sum(x <= 3 for x in lengths) / n,
                 sum(x >= 14 for x in lengths) / n,
-                max(map(part.count, list(kinds)[:8]), default=0) / n,
+                max(kinds.values(), default=0) / n,
                 len(part) / PASSAGE,
                 1.0 if len(words) < 50 else 0.0,
             ]

@@ -246,6 +246,11 @@ def test_toxicity_without_labels_or_rows(spark):
     assert [r.score for r in got] == [0.0, 0.0] and toxicity.classify(docs(spark, []), none).count() == 0
 
 
+def test_share_of_the_most_frequent_word_counts_all_words():
+    rare = [f"w{i}" for i in range(40)]
+    assert all(quality_mil.encode(" ".join([*rare, *[w] * 20]))[0][-3] == 21 / 60 for w in rare)
+
+
 def test_quality_held_out(spark):
     def junk(words, rng):
         words[:] = [w.upper() + "!!" for w in words[:8]] * 12
