@@ -52,7 +52,7 @@ def _line_key(x: str) -> str:
 
 _DASH = "translate({x}, '‐‑‒–—−', '------')"
 _PAIRS = """
-  versions AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY substring(text, 1, 120)) AS base FROM documents),
+  versions AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY substring(text, 1, 40)) AS base FROM documents),
   pairs AS (SELECT CAST(v.doc_id AS VARCHAR) AS job_id, b.text AS text1, v.text AS text2 FROM versions v JOIN documents b ON b.doc_id = v.base WHERE v.doc_id <> v.base)"""
 _SIDES = f"""{_PAIRS},
   sides AS (SELECT job_id, 1 AS side, string_split(text1, chr(10)) AS lines FROM pairs UNION ALL SELECT job_id, 2, string_split(text2, chr(10)) FROM pairs),

@@ -12,7 +12,7 @@ from docdelta.functions.textnorm import alignment_key, layout_free, literal_key
 from docdelta.operators import align, classify, jobs, pages, queue, results, segment, tokendiff
 from docdelta.plans import compare as plan
 from docdelta.sources import views
-from docdelta.sources.tables import read_table
+from docdelta.sources.tables import read_table, widened
 from docdelta.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,7 @@ def as_of() -> Column:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents").select("doc_id", "text")
+    return widened(read_table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:

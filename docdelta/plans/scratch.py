@@ -16,11 +16,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only where none is set."""
+    """The shared folder of this session; a temporary one only where none is set and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("docdelta.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="docdelta-")
         spark.conf.set("docdelta.scratch.dir", root)
         _made.append((spark, root))
@@ -42,6 +44,17 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame, rows_per_task: int, *keys: str) -> DataFrame:
+    """The rows dealt by keys over as many tasks as their number asks for.
+
+    For work whose cost is the processor's and not the bytes': adaptive execution
+    would join small partitions into one task. ``table`` should be a written one,
+    as its rows are counted.
+    """
+    least = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(max(least, min(100_000, -(-table.count() // rows_per_task))), *keys)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; a path that is already gone is no error."""
     jvm = spark.sparkContext._jvm

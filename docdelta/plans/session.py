@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
 def local_session(name: str = "docdelta", cpus: str = "8", memory: str = "12g") -> SparkSession:
-    """A local session; on a cluster these come from spark-submit."""
+    """A local session; on a cluster these come from spark-submit, the package by ``--py-files`` or an installation."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in path:  # the workers import the package whatever folder this runs in
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, path)])
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)

@@ -9,7 +9,7 @@ from docdelta.plans.compare import with_page_defaults
 from docdelta.sources.tables import read_table
 
 #: Documents with the same first characters are versions of one another.
-VERSION_KEY = 120
+VERSION_KEY = 40
 
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
