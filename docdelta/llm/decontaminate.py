@@ -1,9 +1,10 @@
-"""Benchmark decontamination by seed hashing (native).
+"""Benchmark decontamination by spaced-seed hashing (native).
 
-Texts become lower-case runs of letters and digits. Seeds pick tokens at fixed
-distances; the picked tokens are hashed and test hashes join training hashes.
-Where an item and a document agree on enough seeds of one diagonal, the item is
-laid over the document there and compared token by token.
+Texts become lower-case runs of letters and digits. Fixed masks pick some of
+four neighbouring tokens and ignore the others; the picked tokens are hashed and
+test hashes join training hashes. Where an item and a document share enough
+seeds of one diagonal, the item is laid over the document there and compared
+token by token.
 
 An item of n tokens is reported where, in one document,
     at least ``overlap`` of its tokens agree on one diagonal, or
@@ -12,16 +13,20 @@ An item of n tokens is reported where, in one document,
     them (so words that were put in or left out do no harm), or
     ``RUN`` tokens in a row agree.
 
-No such pair is missed at the default overlap. Of n tokens with a agreeing, at
-least 2a - n - 1 neighbours agree in pairs: for 60 % that is one pair or more for
-every n but 1, 3 and 5 (as 101 and 10101), which have masks of their own; a dense
-window has three pairs, a run more. That many seeds are asked for before a
-diagonal is compared.
+No such pair is missed at an overlap of 60 % or more. Cut the item into fours:
+one with three agreeing tokens holds a seed (111, 1101 or 1011), one with four
+holds two. With two in every four and two in the rest at most
+2 * floor(n / 4) + min(n mod 4, 2) tokens agree, which is below 60 % but for
+n of 1, 2, 3, 5, 6 and 10; those have masks of weight one or two, which any 60 %
+of them holds. Every token beyond that number is one more seed; a dense window
+has two, a run more. That many seeds are asked for before a diagonal is compared.
 
 Defined cases
-    null or empty texts and items without tokens: no hit; repeated documents:
-    each is reported; repeated items: each is reported; short items: as any other; empty tables: no rows;
-    ties between alignments: the earliest position; extra columns are ignored.
+    null or empty texts and items without tokens: no hit; documents of equal
+    text and different ids: each is reported; rows of one id: reported together,
+    once, where one of them overlaps; repeated items: each is reported; short
+    items: as any other; empty tables: no rows; ties between alignments: the
+    earliest position; extra columns are ignored.
 
 Scale: the documents are read twice. They are never shuffled while the test
 hashes, and then the places that were hit, stay below ``broadcast_rows`` (both
@@ -38,7 +43,8 @@ from docdelta.llm.exprs import let
 from docdelta.plans.scratch import materialize
 
 # 1 marks a token that counts; what is verified locally.
-PAIR, SHORT = "11", {1: ("1",), 3: ("11", "101"), 5: ("11", "101")}
+MASKS = ("111", "1101", "1011")
+SHORT = {1: ("1",), 2: ("11",), 3: ("11", "101"), 5: ("11", "101"), 6: ("11",), 10: ("11",)}
 WINDOW, DENSE, RUN = 8, 6, 13
 
 
@@ -81,19 +87,20 @@ def find(docs: DataFrame, items: DataFrame, overlap: float = 0.6, broadcast_rows
     """One row per document and item that overlap: doc_id, item_id, matched, item_tokens, at."""
     test = let(items.select("item_id", F.col("text")), toks=tokens_of(F.col("text")))
     test = materialize(test.select("item_id", "toks", F.size("toks").alias("n")).filter("n > 0"), "items")
-    lengths = [r["n"] for r in test.filter(F.col("n").isin(*SHORT)).select("n").distinct().collect()]  # three values at most
+    lengths = [r["n"] for r in test.filter(F.col("n").isin(*SHORT)).select("n").distinct().collect()]  # as many as SHORT at most
     text = let(docs.select("doc_id", "text"), toks=tokens_of(F.col("text"))).select("doc_id", "toks", F.size("toks").alias("n"))
 
-    seeds = _placed(test.filter(~F.col("n").isin(*SHORT)), ["item_id", "n"], [PAIR])
+    seeds = _placed(test.filter(~F.col("n").isin(*SHORT)), ["item_id", "n"], list(MASKS))
     for n in lengths:
         seeds = seeds.union(_placed(test.filter(F.col("n") == n), ["item_id", "n"], list(SHORT[n])))
     seeds = seeds.select("hash", "item_id", F.col("n").alias("item_tokens"), F.col("at").alias("item_at"))
     n_seeds = seeds.count()
-    masks = sorted({PAIR, *(m for n in lengths for m in SHORT[n])})
+    masks = sorted({*MASKS, *(m for n in lengths for m in SHORT[n])})
     hits = _placed(text, ["doc_id"], masks).join(F.broadcast(seeds) if n_seeds <= broadcast_rows else seeds, "hash")
     places = hits.groupBy("doc_id", "item_id", "item_tokens", (F.col("at") - F.col("item_at")).alias("start")).count()
-    sure = 2 * F.ceil(overlap * F.col("item_tokens") - 1e-9) - F.col("item_tokens") - 1
-    places = materialize(places.filter(F.col("count") >= F.greatest(F.lit(1), F.least(F.lit(2 * DENSE - WINDOW - 1), sure))), "places")
+    n = F.col("item_tokens")
+    sure = F.ceil(overlap * n - 1e-9) - 2 * F.floor(n / 4) - F.least(n % 4, F.lit(2))
+    places = materialize(places.filter(F.col("count") >= F.when(n.isin(*SHORT), 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(2), sure)))), "places")
 
     by_doc = places.groupBy(F.col("doc_id").alias("id"), "item_id").agg(F.collect_set("start").alias("starts"))
     if places.count() <= broadcast_rows:
@@ -115,8 +122,11 @@ def find(docs: DataFrame, items: DataFrame, overlap: float = 0.6, broadcast_rows
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, limit: int = 1_000_000, **how) -> DataFrame:
-    """The rows that overlap no item; rows without doc_id go together if one of them overlaps."""
+    """The rows whose own text overlaps no item, whatever other rows share their doc_id."""
     name = "id" + "_" * max(map(len, docs.columns))  # no column of the documents is as long
-    ids = materialize(find(docs, items, **how).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    row = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    found = find(docs.select(row.alias("doc_id"), "text"), items, **how)
+    ids = materialize(found.select(F.col("doc_id").alias(name)).distinct(), "contaminated")
     ids = F.broadcast(ids) if ids.count() <= limit else ids
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col(f"{name}.id")) & (F.xxhash64("text") == F.col(f"{name}.h"))
+    return docs.join(ids, same, "left_anti").select(*docs.columns)

@@ -77,7 +77,7 @@ def test_shards_are_gapless_and_near_equal(spark, case):
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
     by = {s: [r for r in got if r.shard == s] for s in {r.shard for r in got}}
     assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
-    assert all(r.size == len((t or "").encode()) + 8 for r, t in [] or [])
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len((t or "").encode()) + 8) for i, t in rows)
     if case != "one":
         sizes = [sum(r.size for r in rs) for rs in by.values()]
         assert len(by) == 8 and max(sizes) - min(sizes) <= 2 * max(r.size for r in got)
@@ -257,5 +257,47 @@ def test_leaks_at_the_edges_and_empty_tables(spark):
     got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.find(docs(spark, rows), bench).collect()}
     assert got[1, 1] == got[1, 2] == got[None, 1] == 20 and got[2, 1] == 16 and got[3, 1] == 14
     assert decontaminate.find(docs(spark, []), bench).count() == 0 and decontaminate.find(docs(spark, rows), items(spark, [])).count() == 0
-    kept = decontaminate.drop_contaminated(docs(spark, [*rows, (9, "clean text")]), bench)
-    assert [r.doc_id for r in kept.collect()] == [9] and kept.columns == docs(spark, []).columns
+    kept = decontaminate.drop_contaminated(docs(spark, [*rows, (9, "clean text"), (None, "clean too"), (1, "also clean"), (1, None)]), bench)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(9, "clean text"), (None, "clean too"), (1, "also clean"), (1, None)])
+    assert kept.columns == docs(spark, []).columns
+
+
+def test_masks_hold_every_pattern_at_the_limit():
+    """All patterns of agreement of up to 15 tokens: enough seeds wherever 60 % agree or a dense window or a run is there."""
+    for n in range(1, 16):
+        masks = decontaminate.SHORT.get(n, decontaminate.MASKS)
+        least = -(-3 * n // 5)
+        asked = 1 if n in decontaminate.SHORT else max(1, min(2, least - 2 * (n // 4) - min(n % 4, 2)))
+        for bits in range(1 << n):
+            width = min(n, decontaminate.WINDOW)
+            dense = any((bits >> k & ((1 << width) - 1)).bit_count() * decontaminate.WINDOW >= width * decontaminate.DENSE for k in range(n - width + 1))
+            if bits.bit_count() >= least or dense:
+                seeds = sum(bits >> k & (m := int(mask, 2)) == m for mask in masks for k in range(n - len(mask) + 1))
+                assert seeds >= asked, (n, bin(bits))
+
+
+def plain_overlaps(doc, item, overlap=0.6):
+    n, best, joined, run = len(item), 0, set(), 0
+    for start in range(-n + 1, len(doc)):
+        agree = [0 <= start + i < len(doc) and doc[start + i] == t for i, t in enumerate(item)]
+        width = min(n, decontaminate.WINDOW)
+        for k in range(n - width + 1):
+            if 8 * sum(agree[k : k + width]) >= 6 * width:
+                joined |= {i for i in range(k, k + width) if agree[i]}
+        best = max(best, sum(agree))
+        run = max(run, *(len(x) for x in "".join(".x"[a] for a in agree).split(".")))
+    return best >= overlap * n - 1e-9 or len(joined) >= overlap * n - 1e-9 or run >= decontaminate.RUN
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(16)
+    bench = {i: [rng.choice("abcdefghijkl") for _ in range(n)] for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 16, 20, 24, 31, 40])}
+    texts = {}
+    for k in range(60):
+        words = [rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(0, 60))]
+        item = bench[rng.randrange(len(bench))]
+        words[10:10] = [w if rng.random() < 0.75 else rng.choice(["x", "y z"]) for w in item]
+        texts[k] = " ".join(words)
+    want = {(d, i) for d, t in texts.items() for i, item in bench.items() if plain_overlaps(t.split(), item)}
+    got = decontaminate.find(docs(spark, list(texts.items())), items(spark, [(i, " ".join(w)) for i, w in bench.items()]))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 60
