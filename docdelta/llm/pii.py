@@ -3,15 +3,28 @@
 Detected entities are replaced by keyed surrogates of the same type and form:
 letters by letters of the same case and script, digits by digits, separators
 kept; names by names of the same gender and script; card numbers that pass the
-Luhn check by numbers that pass it; octets by octets. One entity has one
-surrogate over the whole corpus (coreference). Surrogates are checked: two
-entities of a type must not share one, and none may be an entity of the corpus;
-what collides is drawn again, until nothing collides.
+Luhn check by numbers that pass it; octets by octets.
+
+An entity is made of units in canonical form: an address in lower case, a number
+without its separators, the bare value of a secret without its key word, a
+surname, a first name. A unit has one surrogate over the whole corpus, so all
+its written forms agree (coreference): «Mrs. Jennifer Miller», «Jennifer Miller»
+and «Mrs. Miller» stay one person, of one surname. Surrogates of units are
+checked: two units must not share one, and none may be a unit of the corpus;
+what collides is drawn again with all its forms, until nothing collides. Made-up
+names, addresses and secrets grow by a syllable or a sign with each further draw
+after the third, so there is always room.
+
+Listed first names are exchanged by a keyed permutation of their list (same
+gender and script). Other first names, known by the title before them, become a
+listed one joined with made-up syllables. After a title that says no gender, the
+gender of an unlisted first name is drawn from the key.
 
 Entities: e-mail addresses, secrets after a key word, US social security
 numbers, IBANs, IPv4 addresses, payment-card-like numbers of 13 to 19 digits,
 phone numbers, and person names (a title or a listed first name, then one or two
-capitalised words).
+capitalised words). A name without title and listed first name is not found, and
+a listed first name before any capitalised word counts as one.
 
 Defined cases
     null text: stays null; empty text: stays empty; no entity: unchanged to the
@@ -19,13 +32,15 @@ Defined cases
     alike; empty table: no rows; all columns are kept, whatever their names.
 
 Scale: surrogates come from a keyed hash inside the row, without any join. Only
-distinct entities are shuffled for the check. The few that collide form a table
-of exceptions, joined by entity to the documents' entities (never to the text),
-and by document, broadcast up to a counted bound and by shuffle beyond it.
+distinct units are shuffled for the check. The few that collide form a table of
+draws, joined by unit to the documents' units (never to the text), and by the
+set of units, broadcast up to a counted bound and by shuffle beyond it.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +79,9 @@ PATTERNS = {
 _ANY = r"(?<![\p{L}\p{N}_@.+-])(?:" + "|".join(PATTERNS.values()) + ")"
 # Every entity has one of these; a text without any is left as it is.
 _HINT = rf"[0-9@=:]|\p{{Lu}}\p{{Ll}}+\.?\x20\p{{Lu}}|{_TITLE}\p{{Lu}}"
+_UNITS = "array<struct<kind:string,value:string>>"
+#: Draws after which a made-up surrogate may grow.
+SHORT_DRAWS = 3
 
 
 def _starts(entity: Column, pattern: str) -> Column:
@@ -82,23 +100,77 @@ def _key_part(entity: Column) -> Column:
     return F.regexp_extract(entity, r"^((?i:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\x20?[=:]\x20?[\"']?)", 1)
 
 
+# ---- units ----------------------------------------------------------------
+
+
+def _title(entity: Column) -> Column:
+    return F.regexp_extract(entity, f"^({_TITLE})", 1)
+
+
+def _said_gender(title: Column) -> Column:
+    word = F.lower(F.regexp_replace(title, r"[.\x20]", ""))
+    return F.coalesce(*(F.when(word.isin([t for t, g in TITLES.items() if g == gender]), gender) for gender in "mf"), F.lit("n"))
+
+
+def _script(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+
+
+def _listed(word: Column) -> Column:
+    return word.isin([n for by in FIRST.values() for names in by.values() for n in names])
+
+
+def _unit(kind: Column | str, value: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("value"))
+
+
+def units_of(entity: Column) -> Column:
+    """The units that a written entity is made of; a listed first name is none, as it needs no draw."""
+
+    def named(e: Column) -> Column:
+        title, words = _title(e), F.split(F.regexp_replace(e, f"^{_TITLE}", ""), " ")
+        first = F.get(words, F.lit(0))
+        family = F.array(_unit(F.concat(F.lit("surname-"), _script(F.element_at(words, -1))), F.element_at(words, -1)))
+        given = F.array(_unit(F.concat_ws("-", F.lit("first"), _script(first), _said_gender(title)), first))
+        return F.when((F.size(words) > 1) & ~_listed(first), F.concat(family, given)).otherwise(family)
+
+    def told(e: Column, kind: Column) -> Column:
+        bare = F.regexp_replace(e, "[^0-9A-Za-z+]", "")
+        value = F.substring(e, F.length(_key_part(e)) + 1, F.length(e))
+        return (
+            F.when(kind == "name", named(e)).when(kind == "email", F.array(_unit("email", F.lower(e)))).when(kind == "secret", F.array(_unit("secret", value)))
+            .when(kind == "ipv4", F.array(_unit("ipv4", e))).otherwise(F.array(_unit(kind, bare)))
+        )
+
+    return bind(entity, lambda e: bind(kind_of(e), lambda kind: told(e, kind)))
+
+
+# ---- drawing --------------------------------------------------------------
+
+
 def _nibbles(seed: Column, n: Column) -> Column:
     """At least n hex digits derived from the seed."""
     return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 64).cast("int")), lambda i: F.sha2(F.concat_ws("|", seed, i.cast("string")).cast("binary"), 256)), "")
 
 
+def _bytes(seed: Column, n: Column) -> Column:
+    """At least n numbers from 0 to 255 derived from the seed, as an array."""
+    pairs = F.regexp_extract_all(_nibbles(seed, n * 2), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int"))
+
+
 def _like(text: Column, seed: Column, skip: bool = False) -> Column:
     """Each letter or digit by another of its class; the rest stays.
 
-    With ``skip``, separators do not count, so that a number written with and
-    without them gets the same digits.
+    With ``skip`` (numbers, which are short), separators do not count, so that a
+    number written with and without them gets the same digits.
     """
-    return bind(_nibbles(seed, F.length(text) * 2), lambda stream: _like_stream(text, stream, skip))
+    return bind(_bytes(seed, F.length(text)), lambda stream: _like_stream(text, stream, skip))
 
 
 def _like_stream(text: Column, stream: Column, skip: bool) -> Column:
     place = lambda i: F.length(F.regexp_replace(F.substring(text, F.lit(1), i), r"[^\p{L}\p{N}]", "")) if skip else i
-    value = lambda i: F.conv(F.substring(stream, place(i) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    value = lambda i: F.get(stream, place(i))
     shift = lambda code, low, span, i: F.char(F.lit(low) + (code - low + value(i)) % span)
     cyr = lambda low, i: F.substring(F.lit("абвгдежзиклмнопрстуфхцчшэюя" if low else "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), value(i) % 27 + 1, F.lit(1))
 
@@ -123,10 +195,8 @@ def _hex_like(text: Column, seed: Column) -> Column:
     return F.when(text.rlike("[A-F]"), F.upper(stream)).otherwise(stream)
 
 
-def _octets(entity: Column, seed: Column) -> Column:
-    stream = _nibbles(seed, F.lit(8))
-    part = lambda i: F.conv(F.substring(stream, F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("int")
-    return F.concat_ws(".", (part(0) % 223 + 1).cast("string"), *(part(i).cast("string") for i in (1, 2, 3)))
+def _octets(seed: Column) -> Column:
+    return bind(_bytes(seed, F.lit(4)), lambda b: F.concat_ws(".", (F.get(b, F.lit(0)) % 223 + 1).cast("string"), *(F.get(b, F.lit(i)).cast("string") for i in (1, 2, 3))))
 
 
 def _luhn(entity: Column, like: Column) -> Column:
@@ -137,101 +207,145 @@ def _luhn(entity: Column, like: Column) -> Column:
     return F.when(F.call_function("luhn_check", digits), F.element_at(fits, 1)).otherwise(like)
 
 
-def _named(entity: Column, seed: Column) -> Column:
-    """Title kept; first name of the same gender and script; made-up surname."""
-    title = F.regexp_extract(entity, f"^({_TITLE})", 1)
-    rest = F.split(F.regexp_replace(entity, f"^{_TITLE}", ""), " ")
-    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    word = F.lower(F.regexp_replace(title, r"[.\x20]", ""))
-    said = F.coalesce(*(F.when(word.isin([t for t, g in TITLES.items() if g == gender]), gender) for gender in "mf"))
-    known = F.coalesce(*(F.when(F.element_at(rest, 1).isin(names), gender) for by in FIRST.values() for gender, names in by.items()))
-    return bind(_nibbles(seed, F.lit(16)), lambda stream: _named_stream(entity, stream, title, rest, script, word, said, known))
+def _made_up(seed: Column, script: str, syllables: Column) -> Column:
+    part = F.array(*map(F.lit, SYLLABLES[script]))
+    return F.initcap(F.array_join(F.transform(F.slice(_bytes(seed, syllables), F.lit(1), syllables), lambda b: F.element_at(part, b % len(SYLLABLES[script]) + 1)), ""))
+
+
+def _pick(names: list[str], seed: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), F.conv(F.substring(seed, 1, 4), 16, 10).cast("int") % len(names) + 1)
 
 
-def _named_stream(entity: Column, stream: Column, title: Column, rest: Column, script: Column, word: Column, said: Column, known: Column) -> Column:
-    draw = lambda i, n: F.conv(F.substring(stream, F.lit(3 * i + 1), F.lit(3)), 16, 10).cast("int") % n
-    gender = F.coalesce(known, said, F.when(draw(0, 2) == 0, "m").otherwise("f"))
-    first = F.coalesce(*(F.when((script == s) & (gender == g), F.element_at(F.array(*map(F.lit, names)), draw(1, len(names)) + 1)) for s, by in FIRST.items() for g, names in by.items()))
-    last = F.coalesce(*(F.when(script == s, F.initcap(F.concat(*(F.element_at(F.array(*map(F.lit, part)), draw(2 + k, len(part)) + 1) for k in range(3))))) for s, part in SYLLABLES.items()))
-    return F.concat(title, F.when(F.size(rest) > 1, F.concat_ws(" ", first, last)).otherwise(last))
+def _seed(kind: Column, value: Column, key: str, attempt: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")).cast("binary"), 256)
 
 
-def surrogate(entity: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of an entity; ``attempt`` counts the draws that collided."""
-    return bind(entity, lambda e: bind(kind_of(e), lambda kind: bind(_seed(e, kind, key, attempt), lambda seed: _drawn(e, kind, seed))))
+def _growth(attempt: Column) -> Column:
+    return F.greatest(F.lit(0), attempt - SHORT_DRAWS)
+
+
+def _form(kind: Column, form: Column, seed: Column, attempt: Column) -> Column:
+    """The surrogate of a unit that is no name, in a written form of it; a canonical unit is its own form."""
+    grown = lambda text: F.when(attempt > SHORT_DRAWS, F.concat(text, F.substring(_nibbles(seed, attempt), F.lit(1), _growth(attempt)))).otherwise(text)
+    mail, secret, card = kind == "email", kind == "secret", kind == "card"
+    main = F.when(mail, F.substring_index(form, "@", 1)).otherwise(form)
+    domain = F.substring_index(F.substring_index(form, "@", -1), ".", 1)
+    after = lambda: F.concat(F.lit("@"), _like(domain, F.sha2(seed.cast("binary"), 256)), F.lit(".example.org"))
+    free = F.when(secret & form.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex_like(form, seed)).when(mail | secret, _like(main, seed)).otherwise(_like(form, seed, skip=True))
+    return F.when(kind == "ipv4", _octets(seed)).otherwise(bind(free, lambda like: F.when(card, _luhn(form, like)).when(mail, F.concat(grown(like), after())).when(secret, grown(like)).otherwise(like)))
+
+
+def _name(kind: Column, seed: Column, attempt: Column) -> Column:
+    """The surrogate of a surname or of an unlisted first name."""
+    out = F.lit(None).cast("string")
+    for script in FIRST:
+        out = F.when(kind == f"surname-{script}", _made_up(seed, script, 3 + _growth(attempt))).otherwise(out)
+        drawn_m = F.substring(seed, -1, 1).isin(*"02468ace")
+        first = F.when(kind.endswith("-m") | (kind.endswith("-n") & drawn_m), _pick(FIRST[script]["m"], seed)).otherwise(_pick(FIRST[script]["f"], seed))
+        out = F.when(kind.startswith(f"first-{script}"), F.concat(first, F.lit("-"), _made_up(seed, script, 2 + _growth(attempt)))).otherwise(out)
+    return out
 
 
-def _seed(entity: Column, kind: Column, key: str, attempt: Column) -> Column:
-    canonical = F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "iban", "ssn"), F.regexp_replace(entity, "[^0-9A-Za-z+]", "")).otherwise(entity)
-    return F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string")).cast("binary"), 256)
+def drawn(kind: Column, value: Column, key: str, attempt: Column) -> Column:
+    """The surrogate of a unit; ``attempt`` counts the draws that collided."""
+    named = kind.startswith("surname-") | kind.startswith("first-")
+    return bind(_seed(kind, value, key, attempt), lambda seed: F.when(named, _name(kind, seed, attempt)).otherwise(_form(kind, value, seed, attempt)))
 
 
-def _drawn(entity: Column, kind: Column, seed: Column) -> Column:
-    start = _key_part(entity)
-    value = F.substring(entity, F.length(start) + 1, F.length(entity))
-    local = F.substring_index(entity, "@", 1)
-    domain = F.substring_index(entity, "@", -1)
-    hexadecimal = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    return (
-        F.when(kind == "email", F.concat(_like(local, seed), F.lit("@"), _like(F.substring_index(domain, ".", 1), F.sha2(seed.cast("binary"), 256)), F.lit(".example.org")))
-        .when(kind == "secret", F.concat(start, F.when(hexadecimal, _hex_like(value, seed)).otherwise(_like(value, seed))))
-        .when(kind == "ipv4", _octets(entity, seed))
-        .when(kind == "card", bind(_like(entity, seed, skip=True), lambda like: _luhn(entity, like)))
-        .when(kind == "name", _named(entity, seed))
-        .otherwise(_like(entity, seed, skip=True))
-    )
+def _exchanged(word: Column, key: str) -> Column:
+    """A listed first name by the next one in the keyed order of its list."""
+    pairs = []
+    for by in FIRST.values():
+        for names in by.values():
+            order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|{n}".encode()).digest())
+            pairs += zip(order, [*order[1:], order[0]], strict=True)
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in pairs for x in pair)), word)
+
+
+def surrogate(entity: Column, key: str, attempt_of) -> Column:
+    """The surrogate of a written entity; ``attempt_of`` gives the draw of a unit."""
+
+    def named(e: Column, units: Column) -> Column:
+        title, words = _title(e), F.split(F.regexp_replace(e, f"^{_TITLE}", ""), " ")
+        unit = lambda u: bind(attempt_of(u), lambda n: bind(_seed(u["kind"], u["value"], key, n), lambda seed: _name(u["kind"], seed, n)))
+        first = F.when(F.size(units) > 1, unit(F.get(units, F.lit(1)))).otherwise(_exchanged(F.get(words, F.lit(0)), key))
+        return F.concat(title, F.when(F.size(words) > 1, F.concat(first, F.lit(" "))).otherwise(""), unit(F.get(units, F.lit(0))))
+
+    def put(e: Column, units: Column) -> Column:
+        u = F.get(units, F.lit(0))
+        start = F.when(u["kind"] == "secret", _key_part(e)).otherwise("")
+        form = F.substring(e, F.length(start) + 1, F.length(e))
+        other = bind(attempt_of(u), lambda n: bind(_seed(u["kind"], u["value"], key, n), lambda seed: F.concat(start, _form(u["kind"], form, seed, n))))
+        return F.when(u["kind"].startswith("surname-"), named(e, units)).otherwise(other)
+
+    return bind(entity, lambda e: bind(units_of(e), lambda units: put(e, units)))
+
+
+# ---- corpus ---------------------------------------------------------------
 
 
 def _found(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct entities of the corpus."""
-    return docs.select(F.explode(_found(F.col(text))).alias("entity")).distinct()
+def units(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Distinct units (kind, value) of the corpus."""
+    entities = docs.select(F.explode(_found(F.col(text))).alias("entity")).distinct()
+    return entities.select(F.inline(units_of(F.col("entity")))).distinct()
 
 
-def exceptions(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
-    """entity and surrogate of those whose first draw collides with another surrogate or a real entity.
+def redrawn(found: DataFrame, key: str, patience: int = 50) -> DataFrame:
+    """kind, value and attempt of the units whose first draw collides with another surrogate or a real unit.
 
-    Forms that are the same thing written differently (case of an address,
-    separators of a number) share their draw and are no collision.
+    Of those that share a surrogate the first keeps it. Draws go on while there
+    are collisions; only ``patience`` rounds in a row without fewer of them, which
+    means that a fixed form has no room left, are an error.
     """
-    drawn = found.select("entity", F.lit(0).alias("attempt")).select("*", surrogate(F.col("entity"), key, F.col("attempt")).alias("surrogate"))
-    drawn = materialize(drawn, "drawn")
-    for turn in range(1, rounds + 1):
-        owner = drawn.groupBy("surrogate").agg(F.min("entity").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        shared = drawn.join(owner, "surrogate").filter("entity <> owner").select("entity")
-        real = drawn.join(found.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("entity")
+    put = lambda df: df.select("kind", "value", "attempt", drawn(F.col("kind"), F.col("value"), key, F.col("attempt")).alias("surrogate"))
+    now = materialize(put(found.withColumn("attempt", F.lit(0))), "drawn")
+    least, idle = None, 0
+    while True:
+        id_ = F.struct("kind", "value")
+        owner = now.groupBy("surrogate").agg(F.min(id_).alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        shared = now.join(owner, "surrogate").filter(id_ != F.col("owner")).select("kind", "value")
+        real = now.join(found.select(F.col("value").alias("surrogate")).distinct(), "surrogate", "left_semi").select("kind", "value")
         again = materialize(shared.unionByName(real).distinct(), "again")
-        if not again.take(1):
-            break
-        redone = again.select("entity", F.lit(turn).alias("attempt")).select("*", surrogate(F.col("entity"), key, F.col("attempt")).alias("surrogate"))
-        drawn = materialize(drawn.join(again, "entity", "left_anti").unionByName(redone), "drawn")
-    else:
-        raise RuntimeError(f"surrogates still collide after {rounds} rounds")
-    return drawn.filter("attempt > 0").select("entity", "surrogate")
+        left = again.count()
+        if not left:
+            return now.filter("attempt > 0").select("kind", "value", "attempt")
+        idle = 0 if least is None or left < least else idle + 1
+        least = left if least is None else min(left, least)
+        if idle >= patience:
+            raise RuntimeError(f"{left} surrogates still collide; their form has no room for so many entities")
+        redone = now.join(again, ["kind", "value"]).select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        now = materialize(now.join(again, ["kind", "value"], "left_anti").unionByName(put(redone)), "drawn")
 
 
-def replace(docs: DataFrame, key: str = "docdelta", text: str = "text", count: str | None = None, broadcast_rows: int = 500_000) -> DataFrame:
-    """The rows with every entity replaced; ``count`` names a column for the number of replacements."""
-    found = materialize(entities(docs, text), "entities")
-    odd = materialize(exceptions(found, key), "exceptions")
+def replace(docs: DataFrame, key: str, text: str = "text", count: str | None = None, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows with every entity replaced; ``count`` names a column for the number of replacements.
+
+    ``key`` is a secret: who knows it can recompute the surrogates of a guess.
+    """
+    if not key:
+        raise ValueError("a key is needed")
+    found = materialize(units(docs, text), "units")
+    odd = materialize(redrawn(found, key), "redrawn")
     names = docs.columns
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{text}`").alias("body"))
     inner = let(inner, found=_found(F.col("body")))
     n = odd.count()
     if n:
-        # Exceptions by the set of entities that a row has, never by its text.
-        sets = inner.filter(F.size("found") > 0).select(F.array_sort(F.array_distinct("found")).alias("s")).distinct()
-        hit = sets.select("s", F.explode("s").alias("entity")).join(F.broadcast(odd) if n <= broadcast_rows else odd, "entity")
-        maps = materialize(hit.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("m")), "maps")
-        inner = inner.withColumn("s", F.array_sort(F.array_distinct("found")))
+        # Draws by the set of units that a row has, never by its text.
+        inner = inner.withColumn("s", F.array_sort(F.array_distinct(F.flatten(F.transform("found", units_of)))))
+        sets = inner.filter(F.size("s") > 0).select("s").distinct()
+        hit = sets.select("s", F.inline("s")).join(F.broadcast(odd) if n <= broadcast_rows else odd, ["kind", "value"])
+        entry = F.struct(F.concat_ws("|", "kind", "value").alias("u"), "attempt")
+        maps = materialize(hit.groupBy("s").agg(F.map_from_entries(F.collect_set(entry)).alias("m")), "maps")
         inner = inner.join(F.broadcast(maps) if maps.count() <= broadcast_rows else maps, "s", "left").drop("s")
-        put = lambda e: F.coalesce(F.try_element_at("m", e), surrogate(e, key, F.lit(0)))
+        attempt_of = lambda u: F.coalesce(F.try_element_at("m", F.concat_ws("|", u["kind"], u["value"])), F.lit(0))
     else:
-        put = lambda e: surrogate(e, key, F.lit(0))
-    inner = let(inner, put=F.transform("found", put))
+        attempt_of = lambda u: F.lit(0)
+    inner = let(inner, put=F.transform("found", lambda e: surrogate(e, key, attempt_of)))
     pieces = F.split("body", _ANY, -1)
     built = F.array_join(F.zip_with(pieces, "put", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     whole = F.when(F.size("found") > 0, built).otherwise(F.col("body"))

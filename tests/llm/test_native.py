@@ -106,7 +106,7 @@ PRIVATE = [
 
 
 def replaced(spark, rows, **how):
-    return [(r.doc_id, r.text) for r in pii.replace(docs(spark, rows), **how).collect()]
+    return [(r.doc_id, r.text) for r in pii.replace(docs(spark, rows), **({"key": "k1"} | how)).collect()]
 
 
 def test_pii_is_gone_and_clean_text_stays(spark):
@@ -119,7 +119,7 @@ def test_pii_is_gone_and_clean_text_stays(spark):
 def test_pii_needs_no_other_signs_in_the_text(spark):
     names = ["el señor García", "herr Müller", "monsieur Dupont", "DR. Smith", "г-н Иванов", "Г-н Иванов", "FRAU Weber-Schmidt", "jennifer and Jennifer Miller", "Александр Петров"]
     alone = ["a b.c@mail.example.com d", "password=abcdefgh1", "token: abcdefghij", "x 123-45-6789", "DE89370400440532013000", "97.51.17.173", "4111111111111111", "+491701234567", *names]
-    got = pii.replace(docs(spark, list(enumerate(alone))), count="k").collect()
+    got = pii.replace(docs(spark, list(enumerate(alone))), "k1", count="k").collect()
     assert all(r.k == 1 and r.text != alone[r.doc_id] for r in got)
 
 
@@ -136,8 +136,13 @@ def test_pii_keeps_form_gender_script_and_coreference(spark):
     assert re.search(r'token = "[0-9a-f]{40}"', got[2])
     assert re.search(r"SSN \d{3}-\d{2}-\d{4}", got[3])
     m = re.fullmatch(r"Mrs\. (\w+) (\w+) met (\w+) (\w+) and Dr (\w+); (\w+) (\w+) left\.", got[4])
-    assert m and m[1] in pii.FIRST["latin"]["f"] and m[6] in pii.FIRST["latin"]["f"] and m[3] in pii.FIRST["cyrillic"]["m"]
+    assert m and m[1] in pii.FIRST["latin"]["f"] and (m[6], m[7]) == (m[1], m[2]) and m[3] in pii.FIRST["cyrillic"]["m"]
     assert re.fullmatch("[а-яА-Я]+", m[4])
+    text = "Mrs. Jennifer Miller, Jennifer Miller, MRS Miller; Herr Xaver Huber, Herr Huber; Elizabeth Miller; token=abcd1234 secret: 'abcd1234'; A.B@c.de a.b@C.DE"
+    (_, t), = replaced(spark, [(1, text)])
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+), (\w+) (\w+), MRS (\w+); Herr ([\w-]+) (\w+), Herr (\w+); (\w+) (\w+); token=(\w+) secret: '(\w+)'; (\S+) (\S+)", t)
+    assert (m[1], m[2]) == (m[3], m[4]) and m[5] == m[2] == m[10] and m[9] != m[1] and m[7] == m[8] != m[2]
+    assert m[6].split("-")[0] in pii.FIRST["latin"]["m"] and m[11] == m[12] != "abcd1234" and m[13].lower() == m[14].lower() != "a.b@c.de"
 
 
 def test_pii_depends_on_key_and_is_stable(spark):
@@ -146,14 +151,57 @@ def test_pii_depends_on_key_and_is_stable(spark):
     assert Counter(replaced(spark, PRIVATE * 2)) == Counter(replaced(spark, PRIVATE) * 2)
 
 
-def test_pii_collisions_are_drawn_again(spark, monkeypatch):
-    real = pii.surrogate
-    crowded = lambda e, key, attempt: F.when(attempt < 2, F.lit("10.0.0.1")).otherwise(real(e, key, attempt))
-    monkeypatch.setattr(pii, "surrogate", crowded)
-    rows = [(i, f"at 20.0.0.{i} and 20.0.1.{i} end") for i in range(20)]
-    got = replaced(spark, rows)
-    drawn = [x for _, t in got for x in re.findall(r"\d+\.\d+\.\d+\.\d+", t)]
-    assert len(drawn) == len(set(drawn)) == 40 and not {f"20.0.{k}.{i}" for k in (0, 1) for i in range(20)} & set(drawn)
+def test_pii_collisions_are_drawn_again_in_all_forms(spark, monkeypatch):
+    real = pii._seed
+    crowded = lambda kind, value, key, attempt: F.when(attempt < 2, F.sha2(kind.cast("binary"), 256)).otherwise(real(kind, value, key, attempt))
+    monkeypatch.setattr(pii, "_seed", crowded)  # the first two draws are the same for all units of a kind
+    card = lambda i: f"41111111111{10000 + i:05d}"
+    apart = lambda c: " ".join(c[k : k + 4] for k in range(0, 16, 4))
+    rows = [(i, f"at 20.0.0.{i} and 20.0.1.{i} end, {card(i)} or {apart(card(i))}, Mr. Surname{'abcdefghijklmnopqrst'[i]} and Jennifer Surname{'abcdefghijklmnopqrst'[i]}") for i in range(20)]
+    got = dict(replaced(spark, rows))
+    hosts = [x for t in got.values() for x in re.findall(r"\d+\.\d+\.\d+\.\d+", t)]
+    assert len(hosts) == len(set(hosts)) == 40 and not {f"20.0.{k}.{i}" for k in (0, 1) for i in range(20)} & set(hosts)
+    cards = [re.search(r"(\d{16}) or (\d{4} \d{4} \d{4} \d{4})", t).groups() for t in got.values()]
+    assert all(a == b.replace(" ", "") for a, b in cards) and len({a for a, _ in cards}) == 20
+    names = [re.search(r"Mr\. (\w+) and \w+ (\w+)$", t).groups() for t in got.values()]
+    assert all(a == b for a, b in names) and len({a for a, _ in names}) == 20
+
+
+def test_pii_has_room_for_more_names_than_short_ones(spark):
+    """More surnames than three syllables can tell apart (4,096)."""
+    word = lambda i: "Q" + "".join("aeioubcdfg"[int(d)] for d in f"{i:05d}")
+    rows = [(b, "; ".join(f"Mr. {word(1000 * b + i)}" for i in range(1000))) for b in range(5)]
+    drawn = [n for _, t in replaced(spark, rows) for n in re.findall(r"Mr\. (\w+)", t)]
+    assert len(drawn) == len(set(drawn)) == 5000 and not {word(i) for i in range(5000)} & set(drawn)
+    with pytest.raises(ValueError):
+        pii.replace(docs(spark, rows), "")
+
+
+def test_pii_is_a_consistent_injective_exchange(spark):
+    """Against a plain dictionary: what is between entities stays, equal units map alike, different ones apart."""
+    rng = random.Random(9)
+    hosts = [f"{rng.randint(1, 223)}.{rng.randint(0, 255)}.1.{k}" for k in range(12)]
+    mails = [f"user{k}@host{k % 3}.example.net" for k in range(12)]
+    secrets = [f"{rng.randrange(16**12):012x}" for _ in range(8)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice([rng.choice(hosts), rng.choice(mails), rng.choice(mails).upper(), "token=" + rng.choice(secrets), "password: " + rng.choice(secrets)]) for _ in range(rng.randint(0, 6))]
+        rows.append((i, " | ".join(["start", *parts, "end"])))
+    seen = {}
+    for i, t in replaced(spark, rows):
+        old, new = rows[i][1].split(" | "), t.split(" | ")
+        assert len(old) == len(new) and (new[0], new[-1]) == ("start", "end")
+        for a, b in zip(old[1:-1], new[1:-1], strict=True):
+            head = re.match(r"(token=|password: )?", a).group()
+            assert b.startswith(head) and a != b
+            assert seen.setdefault(a[len(head) :].lower(), b[len(head) :].lower()) == b[len(head) :].lower()
+    assert len(set(seen.values())) == len(seen) and not set(seen) & set(seen.values())
+
+
+def test_pii_long_values_are_whole(spark):
+    long = "A1b" * 20_000
+    ((_, t),) = replaced(spark, [(1, f"token={long} x")])
+    assert len(t) == len(long) + 8 and long not in t and t.endswith(" x")
 
 
 # ---- quality rules --------------------------------------------------------
