@@ -2,9 +2,10 @@
 
 Alternating stars: every node first hands its larger neighbours, then its
 smaller ones, over to the smallest node it knows, until only stars are left.
-Each half is one aggregate (summed on the map side) and one equi-join, which
-adaptive execution splits where a node has very many links. Rounds grow with
-the logarithm of the longest chain.
+Each half is one aggregate (summed on the map side) and one equi-join; nodes of
+very many links (hubs) are joined by broadcast, at most 10,000 of them, as their
+links add up to the table (see joined_hot). Rounds grow with the logarithm of
+the longest chain.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docdelta.llm.exprs import joined_hot
 from docdelta.plans.scratch import materialize
 
 
@@ -22,11 +24,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _state(edges)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = joined_hot(both.filter("v > u"), least, ["u"], "n", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = joined_hot(large, least, ["u"], "n", before[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _state(edges)
         if after == before:

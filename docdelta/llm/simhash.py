@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docdelta.llm.exprs import joined_hot
 from docdelta.llm.graph import components
 from docdelta.plans.scratch import materialize
 
@@ -110,6 +111,13 @@ def _forest(fps: np.ndarray, groups: np.ndarray, distance: int) -> tuple[np.ndar
             i = label[i]
         return i
 
+    def flatten() -> None:
+        """Every label at its root."""
+        up = label[label]
+        while not np.array_equal(up, label):
+            label[:] = up
+            up = label[label]
+
     step = 1
     while len(rows := rows[rows + step < last[rows]]):
         close = rows[np.bitwise_count(fps[rows] ^ fps[rows + step]) <= distance]
@@ -119,11 +127,9 @@ def _forest(fps: np.ndarray, groups: np.ndarray, distance: int) -> tuple[np.ndar
             if a != b:
                 label[max(a, b)] = min(a, b)
         if step % 16 == 0 or len(close):
-            while (up := label[label]).tolist() != label.tolist() if n < 64 else not np.array_equal(up := label[label], label):
-                label[:] = up
+            flatten()
         step += 1
-    for i in range(n):
-        label[i] = root(i)
+    flatten()
     moved = np.flatnonzero(label != np.arange(n))
     return fps[moved], fps[label[moved]]
 
@@ -169,15 +175,22 @@ def links(distinct: DataFrame, distance: int = 4, tile: int = 2048) -> DataFrame
 def groups(docs: DataFrame, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = materialize(fingerprints(docs), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    stars = components(links(distinct.select("fp"), distance))
-    stars = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    named = distinct.join(stars, distinct.fp == stars.node).select("fp", "root", "least")
-    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.join(of_root, "root").select("fp", "component_id")
-    alone = distinct.join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    names = materialize(linked.unionByName(alone), "names")
-    return rows.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    names = component_names(distinct, components(links(distinct.select("fp"), distance)), "fp")
+    return joined_hot(rows, names, ["fp"], "n", rows.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def component_names(distinct: DataFrame, stars: DataFrame, node: str) -> DataFrame:
+    """node, n and component_id (the least ``least`` of the component) of every node of ``distinct`` (node, least, n).
+
+    The join with the root is by broadcast for roots of very many nodes.
+    """
+    stars = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", node)
+    named = materialize(distinct.join(stars, node).select(node, "root", "least", "n"), "named")
+    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    linked = joined_hot(named, of_root, ["root"], "nodes", named.count()).select(node, "n", "component_id")
+    alone = distinct.join(named.select(node), node, "left_anti").select(node, "n", F.col("least").alias("component_id"))
+    return materialize(linked.unionByName(alone), "names")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
