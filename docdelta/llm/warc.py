@@ -19,10 +19,11 @@ Defined cases
     an empty target; payloads below ``min_bytes``: all responses; empty table:
     no archive rows; other columns are ignored.
 
-Scale: duplicates are found on digests alone (a map-side minimum per digest);
-the pages themselves are joined with the revisits by broadcast up to a counted
-bound and by shuffle beyond. Archives are cut every ``records_per_file``
-records, one file is read by one task.
+Scale: duplicates are found on digests alone (a map-side minimum per digest;
+digests of very many pages are joined by broadcast); the pages themselves are
+joined with the revisits by broadcast up to a counted bound and by shuffle
+beyond. Archives are cut by records and by bytes. One file is read by one task,
+which holds the file and one inflated member; reading is linear in both.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docdelta.llm.exprs import joined_hot
 from docdelta.plans.scratch import materialize
 
 # An empty gzip member, and the revisit profile of WARC 1.1.
@@ -47,6 +49,7 @@ _START = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r\n")
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _HEAD_END = re.compile(rb"\r\n\r\n|\r\n(?=WARC/\d+\.\d+\r\n)")
 _URN = "urn:docdelta:page:"
+WINDOW = 1 << 16
 
 
 def sha1_b32(data: bytes) -> str:
@@ -88,29 +91,41 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
 
-def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id and refers_to of the rows whose payload an earlier page has."""
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    seen = materialize(pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(body).alias("n"), F.sha1(body).alias("sha1")), "payloads")
-    seen = seen.filter(F.col("page_id").isNotNull() & (F.col("n") >= min_bytes))
-    first = seen.groupBy("sha1", "n").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("most")).filter("refers_to <> most").drop("most")
-    return seen.join(first, ["sha1", "n"]).filter("page_id <> refers_to").groupBy("page_id", "sha1").agg(F.min("refers_to").alias("refers_to"))
+def revisits(sizes: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """page_id, sha1 and refers_to of the rows whose payload an earlier page has; ``sizes``: page_id, n, sha1."""
+    seen = sizes.filter(F.col("page_id").isNotNull() & (F.col("n") >= min_bytes))
+    first = seen.groupBy("sha1", "n").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("most"), F.count("*").alias("rows")).filter("refers_to <> most").drop("most")
+    return joined_hot(seen, first, ["sha1", "n"], "rows", sizes.count()).filter("page_id <> refers_to").groupBy("page_id", "sha1").agg(F.min("refers_to").alias("refers_to"))
+
 
+def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 2000, file_bytes: int = 256 << 20, broadcast_rows: int = 1_000_000) -> None:
+    """Write one record per page below ``path``, in files of at most ``records_per_file`` records and about ``file_bytes`` bytes.
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 2000, broadcast_rows: int = 1_000_000) -> None:
-    """Write one record per page below ``path``."""
-    again = materialize(revisits(pages, min_bytes), "revisits").withColumnRenamed("page_id", "id").withColumnRenamed("sha1", "digest")
+    Pages too large for that many in a file are written apart, in files of fewer.
+    """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    sizes = materialize(pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(body).alias("n"), F.octet_length("url").alias("u"), F.sha1(body).alias("sha1")), "payloads")
+    again = materialize(revisits(sizes, min_bytes), "revisits").withColumnRenamed("page_id", "id").withColumnRenamed("sha1", "digest")
+    small = file_bytes // records_per_file
+    weight = F.col("n") + F.coalesce("u", F.lit(0))
+    large, most = sizes.agg(F.count_if(weight > small), F.max(weight)).first()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"))
     n = again.count()
     if n:
         rows = rows.join(F.broadcast(again) if n <= broadcast_rows else again, (F.col("page_id") == F.col("id")) & (F.sha1("html") == F.col("digest")), "left")
     else:
         rows = rows.withColumn("refers_to", F.lit(None).cast("long"))
+    weight = F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0))
+    _put(rows.filter(weight <= small), path, records_per_file)
+    if large:
+        _put(rows.filter(weight > small), path, max(1, file_bytes // most))
+
+
+def _put(rows: DataFrame, path: str, records: int) -> None:
     members = rows.select("page_id", "url", "html", "refers_to").mapInArrow(_members, "member binary")
     (
-        members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1"))
-        .option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
+        members.select(F.col("member").cast("string").alias("value")).write.mode("append").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+        .option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records).text(path)
     )
 
 
@@ -146,28 +161,25 @@ def parse_record(data: bytes, pos: int) -> tuple[dict, int]:
     return {"head": head, "http": http, "payload": payload}, high + 4
 
 
-def _inflate(data: bytes, pos: int, max_member: int) -> tuple[bytes, int, str]:
-    """What a member holds up to its end or its damage, the position behind it, and the damage."""
-    z, rest = zlib.decompressobj(31), memoryview(data)[pos:]
-    try:
-        inner = z.decompress(rest, max_member)
-        return inner, len(data) - len(z.unused_data or z.unconsumed_tail), "" if z.eof else "unended gzip member"
-    except zlib.error:
-        pass
-    # Once more in steps, the one that fails byte by byte.
-    z, out, at, step, size = zlib.decompressobj(31), [], 0, 4096, 0
-    while at < len(rest) and size < max_member:
+def _inflate(data: bytes, pos: int) -> tuple[bytes, int, str]:
+    """What a member holds up to its end or its damage, the position behind it, and the damage.
+
+    The member is fed in windows, so its cost is that of its own bytes; a window
+    that fails is fed once more byte by byte.
+    """
+    z, out, at, step = zlib.decompressobj(31), [], pos, WINDOW
+    while at < len(data) and not z.eof:
         before = z.copy() if step > 1 else None
+        window = data[at : at + step]
         try:
-            out.append(z.decompress(rest[at : at + step]))
+            out.append(z.decompress(window))
         except zlib.error:
             if before is None:
-                break
+                return b"".join(out), at, "gzip member"
             z, step = before, 1
             continue
-        size += len(out[-1])
-        at += step
-    return b"".join(out), pos + at, "gzip member"
+        at += len(window)
+    return b"".join(out), at - len(z.unused_data), "" if z.eof else "unended gzip member"
 
 
 def _records(inner: bytes) -> tuple[list[dict], str]:
@@ -184,7 +196,7 @@ def _records(inner: bytes) -> tuple[list[dict], str]:
     return found, reason
 
 
-def salvage(data: bytes, max_member: int = 1 << 30) -> Iterator[tuple[str, int, int, object]]:
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """("record", start, end, record) and ("gap", start, end, reason) over all bytes of an archive.
 
     Records out of a damaged member have the span of its gap.
@@ -195,7 +207,7 @@ def salvage(data: bytes, max_member: int = 1 << 30) -> Iterator[tuple[str, int,
         try:
             within = ""
             if data.startswith(MAGIC, pos):
-                inner, end, broken = _inflate(data, pos, max_member)
+                inner, end, broken = _inflate(data, pos)
                 found, within = _records(inner)
                 if broken:
                     kept, seen = kept + found, (seen if pos < until else []) + found
