@@ -233,6 +233,12 @@ def test_quality_verdicts(spark):
     assert all(got[i].kept for i in range(30)) and not got[90].kept and not got[91].kept and not got[90].base_failed
     assert got[92].base_failed and not got[92].kept
     assert quality_rules.judge(docs(spark, [])).count() == 0
+    # A few documents are never their own measure: junk goes and prose stays, alone and in languages of their own.
+    odd = {1: ("de", good[0]), 2: ("xx", " ".join(["q1@@##$$"] * 3 + [f"q{i}@@##$$" for i in range(90)])), 3: (None, good[1]), 4: ("ru", " ".join(["слово", "дом", "река", "утро"][i % 4] + "абвгд"[i % 5] * (i % 7) for i in range(90)) + "."), 5: ("de", loud)}
+    alone = docs(spark, [(i, t) for i, (_, t) in odd.items()]).withColumn("lang", F.create_map(*(F.lit(x) for i, (code, _) in odd.items() for x in (i, code)))[F.col("doc_id")])
+    assert {r.doc_id: r.kept for r in quality_rules.judge(alone, max_repeat_percent=100).collect()} == {1: True, 2: False, 3: True, 4: True, 5: False}
+    short = " ".join(word() + "$$$***###" for _ in range(60))  # below the word guard, above the one of characters
+    assert not quality_rules.judge(docs(spark, [*enumerate(good), (90, short)])).filter("doc_id = 90").first().kept
     odd = docs(spark, [*enumerate(good)]).withColumn("lang", F.lit(None).cast("string"))
     assert quality_rules.judge(odd).filter("kept").count() == 30
 
