@@ -1,16 +1,20 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-For a batch of texts: the different words of the batch are laid end to end and
-indexed by a suffix array; every piece of the vocabulary is located in it by
-binary search, which gives the range of all its occurrences; the occurrences are
-edges of a lattice and are sorted by position; edges are then relaxed from left
-to right.
+For a batch of texts: the words of the batch are laid end to end and indexed by
+a suffix array; every piece of the vocabulary is located in it by binary search,
+which gives the range of all its occurrences; the occurrences are edges of a
+lattice and are sorted by position; edges are then relaxed from left to right.
+
+Departures from the plain method, which could not give right results in bounded
+time and memory: a word that occurs again, in the batch or in one before, is
+laid down once and its pieces are remembered (up to ``keep_chars`` characters of
+words); the text is indexed in lots of ``LEARN`` characters; words of more than
+``LONG`` characters and runs of blanks are merged directly.
 
 The model is a BPE model, whose result is no cheapest path, so relaxing applies
 the BPE rule: an edge extends the prefix before it if merging would keep the
 prefix's last piece and the edge's piece apart. Exactly one edge into a position
-of a word passes. A word with pieces of equal rank (runs of blanks) is merged
-directly, which is the last thing BPE would do. Results equal those of the reference library piece by piece.
+of a word passes. Results equal those of the reference library piece by piece.
 
 Normalisation of the model: identity with a leading blank; blanks become U+2581.
 Characters without a piece become byte pieces. Words are what lies between
@@ -22,8 +26,8 @@ Defined cases
     whole, in any number of words.
 
 Scale: one pass without shuffle; a batch is cut to ``batch_chars`` characters,
-so memory is bounded by that and by the longest text. The vocabulary file is
-read from a path that every executor has, given as a parameter.
+so memory is bounded by that and by the longest text. The driver reads the
+vocabulary from a path given as a parameter and ships it with the tasks.
 """
 
 from __future__ import annotations
@@ -42,7 +46,8 @@ BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _WORDS = re.compile(rf"{BLANK}*[^{BLANK}\n]+|\n|{BLANK}+")
 NEVER = np.int64(1) << 40
-LEARN = 30_000
+#: Characters of new words that are indexed at once, and of a word that is merged directly.
+LEARN, LONG = 150_000, 2_000
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -281,20 +286,30 @@ def relax(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes batches; keeps the words it has seen, up to a bound."""
 
-    def __init__(self, v: Vocabulary, keep: int = 200_000) -> None:
-        self.v, self.keep = v, keep
+    def __init__(self, v: Vocabulary, keep_chars: int = 2_000_000) -> None:
+        self.v, self.keep_chars = v, keep_chars
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.flat = np.zeros(0, np.int32)
         self.begin = np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        for low in range(0, len(words), LEARN):  # bounds the edges that are held at once
-            self._learn_some(words[low : low + LEARN])
+        lot, size = [], 0
+        for w in words:  # bounds the edges that are held at once
+            if size + len(w) > LEARN and lot:
+                self._learn_some(lot)
+                lot, size = [], 0
+            lot.append(w)
+            size += len(w)
+        self._learn_some(lot)
+        self.chars += sum(map(len, words))
 
     def _learn_some(self, words: list[str]) -> None:
+        long = [w for w in words if len(w) > LONG]
+        words = [w for w in words if len(w) <= LONG]
         plain = [w for w in words if not w.startswith(BLANK + BLANK) and w != BLANK]
         ids, sizes = relax(plain, self.v)
         odd = [w for w in words if w.startswith(BLANK + BLANK) or w == BLANK]
@@ -317,8 +332,11 @@ class Encoder:
             parts = [self._bytes(w, self._run(len(w) - len(c), of[BLANK + c] if c else [])) for w, c in zip(odd, core, strict=True)]
             ids = np.concatenate([ids, *(np.array(p, np.int64) for p in parts)])
             sizes = np.r_[sizes, [len(p) for p in parts]]
+        for w in long:
+            part = self._bytes(w, self.v.merge(w))
+            ids, sizes = np.concatenate([ids, np.array(part, np.int64)]), np.r_[sizes, len(part)].astype(np.int64)
         base = len(self.begin) - 1
-        self.at.update(zip([*plain, *odd], range(base, base + len(sizes)), strict=True))
+        self.at.update(zip([*plain, *odd, *long], range(base, base + len(sizes)), strict=True))
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes, dtype=np.int64)])
 
@@ -340,7 +358,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All piece ids, and the offsets of the texts in them."""
-        if len(self.at) > self.keep:
+        if self.chars > self.keep_chars:
             self.clear()
         split = [_WORDS.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         fresh = set().union(*split) - self.at.keys() if split else set()
@@ -384,7 +402,7 @@ def _coder(v: Vocabulary, batch_chars: int):
     return code
 
 
-def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, key: str = "doc_id", text: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
+def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, key: str = "doc_id", text: str = "text", batch_chars: int = 1_000_000) -> DataFrame:
     """key, ids and decoded (the text read back from the ids) of every row."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
