@@ -3,7 +3,8 @@
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0.
 Of each class the rows with the smallest hash of their id are taken, at most
 ``per_class``; that bound is the only thing about a fit that does not grow with
-the input. Repeated labels of a document: the larger one counts.
+the input. Repeated labels of a document: the larger one counts; repeated rows
+of a document: the text of the smallest hash counts.
 """
 
 from __future__ import annotations
@@ -26,4 +27,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> Da
     drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     drawn = drawn[0].unionByName(drawn[1])
     # At most 2 * per_class rows, whatever the input.
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))

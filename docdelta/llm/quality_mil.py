@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from docdelta.llm.labelled import held_out, sample
 
 PASSAGE = 64
+#: Passages that a worker holds before it scores them.
+HELD = 4096
 _LOWER = bytes(range(97, 123))
 _UPPER = bytes(range(65, 91))
 _DIGIT = b"0123456789"
@@ -96,6 +98,24 @@ class Model:
         return s, {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "bag": bag}
 
 
+def gradient(model: Model, x: np.ndarray, begin: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of the bags, by parameter."""
+    p = model.p
+    s, o = model.forward(x, begin, counts)
+    ds = (s - y) / len(y)
+    dz = ds[:, None] * p["c"]
+    dh = o["a"][:, None] * dz[o["bag"]]
+    da = (o["h"] * dz[o["bag"]]).sum(1)
+    de = o["a"] * (da - np.add.reduceat(o["a"] * da, begin)[o["bag"]])
+    dt = de[:, None] * p["w"] * o["g"] * (1 - o["t"] ** 2)
+    dg = de[:, None] * p["w"] * o["t"] * o["g"] * (1 - o["g"])
+    dh = (dh + dt @ p["V"].T + dg @ p["U"].T) * (1 - o["h"] ** 2)
+    return {
+        "W": o["x"].T @ dh, "b": dh.sum(0), "V": o["h"].T @ dt, "U": o["h"].T @ dg,
+        "w": ((o["t"] * o["g"]) * de[:, None]).sum(0), "c": o["z"].T @ ds, "d": np.array([ds.sum()]),
+    }
+
+
 def _train(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int, gate: int, steps: int, seed: int) -> Model:
     rng = np.random.default_rng(seed)
     begin = np.r_[0, np.cumsum(counts)[:-1]]
@@ -107,19 +127,7 @@ def _train(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int, gate:
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(w) for k, w in p.items()}
     for step in range(1, steps + 1):
-        s, o = model.forward(x, begin, counts)
-        ds = (s - y) / len(y)
-        dz = ds[:, None] * p["c"]
-        dh = o["a"][:, None] * dz[o["bag"]]
-        da = (o["h"] * dz[o["bag"]]).sum(1)
-        de = o["a"] * (da - np.add.reduceat(o["a"] * da, begin)[o["bag"]])
-        dt = de[:, None] * p["w"] * o["g"] * (1 - o["t"] ** 2)
-        dg = de[:, None] * p["w"] * o["t"] * o["g"] * (1 - o["g"])
-        dh = (dh + dt @ p["V"].T + dg @ p["U"].T) * (1 - o["h"] ** 2)
-        grad = {
-            "W": o["x"].T @ dh, "b": dh.sum(0), "V": o["h"].T @ dt, "U": o["h"].T @ dg,
-            "w": ((o["t"] * o["g"]) * de[:, None]).sum(0), "c": o["z"].T @ ds, "d": np.array([ds.sum()]),
-        }
+        grad = gradient(model, x, begin, counts, y)
         for k in p:
             g = grad[k] + 1e-4 * p[k]
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -147,17 +155,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 
 def _scorer(model: Model | float):
+    def scores(bags: list[list[list[float]]]) -> np.ndarray:
+        if isinstance(model, float):
+            return np.full(len(bags), model)
+        counts = np.array([len(b) for b in bags])
+        return model.forward(np.array([v for b in bags for v in b]), np.r_[0, np.cumsum(counts)[:-1]], counts)[0]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                bags = [encode(t.as_py()) for t in part.column(1)]
-                if isinstance(model, float):
-                    s = np.full(len(bags), model)
-                else:
-                    counts = np.array([len(b) for b in bags])
-                    s, _ = model.forward(np.array([v for b in bags for v in b]), np.r_[0, np.cumsum(counts)[:-1]], counts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            low, held, bags = 0, 0, []
+            for row in range(batch.num_rows):
+                bags.append(encode(batch.column(1)[row].as_py()))
+                held += len(bags[-1])
+                if held >= HELD or row == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(bags)), pa.array(scores(bags), pa.float64())], names=["doc_id", "score"])
+                    low, held, bags = row + 1, 0, []
 
     return score
 
