@@ -37,6 +37,8 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 PREFIXES = (4, 5, 6)
+#: Words whose weight a worker remembers.
+KNOWN = 100_000
 
 
 def hashed(word: str) -> list[int]:
@@ -108,19 +110,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     # A sentence without a telling word has p = 0, however many of them there are.
     told, bag_of = np.unique(bag_of, return_inverse=True)
     doc_of_bag = doc_of_bag[told]
-    n, d = len(told), len(y)
     w, b, leak = np.zeros(len(vocab)), -3.0, -2.0
     m = np.zeros(len(vocab) + 2)
     v = np.zeros(len(vocab) + 2)
     for step in range(1, steps + 1):
-        z = b + np.bincount(bag_of, weights=w[at], minlength=n)
-        p = 1 / (1 + np.exp(-z))
-        miss = 1 / (1 + np.exp(-leak))
-        s = np.bincount(doc_of_bag, weights=-np.logaddexp(0, z), minlength=d) + np.log(1 - miss)
-        e = np.minimum(np.exp(s), 1 - 1e-9)
-        ds = y * e / (1 - e) - (1 - y)
-        dz = -p * ds[doc_of_bag] / d
-        g = np.concatenate([np.bincount(at, weights=dz[bag_of], minlength=len(vocab)) + 2e-4 * w, [dz.sum(), (-miss * ds).sum() / d]])
+        g = np.concatenate(gradient(w, b, leak, at, bag_of, doc_of_bag, y))
+        g[: len(w)] += 2e-4 * w
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -130,6 +125,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     return Model({int(k): float(x) for k, x in zip(vocab, w, strict=True) if abs(x) > 1e-3}, float(b))
 
 
+def gradient(w: np.ndarray, b: float, leak: float, at: np.ndarray, bag_of: np.ndarray, doc_of_bag: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list[float]]:
+    """Of the mean negative log-likelihood of the documents: by weight, and by bias and leak.
+
+    A document is clean if all its sentences and the leak are: its log-probability
+    of that is the sum of their log-complements.
+    """
+    d, n = len(y), len(doc_of_bag)
+    z = b + np.bincount(bag_of, weights=w[at], minlength=n)
+    p, miss = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-leak))
+    s = np.bincount(doc_of_bag, weights=-np.logaddexp(0, z), minlength=d) + np.log(1 - miss)
+    e = np.minimum(np.exp(s), 1 - 1e-9)
+    ds = y * e / (1 - e) - (1 - y)
+    dz = -p * ds[doc_of_bag] / d
+    return np.bincount(at, weights=dz[bag_of], minlength=len(w)), [dz.sum(), (-miss * ds).sum() / d]
+
+
 def _telling(words: np.ndarray, bag_of: np.ndarray, toxic: np.ndarray, least: int, min_z: float) -> np.ndarray:
     """Which hashes stand in clearly more different sentences of toxic documents than of others.
 
@@ -163,7 +174,7 @@ def _scorer(model: Model):
             got = []
             for text in batch.column(1):
                 got.append(model.document(text.as_py(), known))
-                if len(known) > 200_000:
+                if len(known) > KNOWN:
                     known.clear()
             spans = [[{"start": a, "stop": b, "score": p} for a, b, p in found] for _, found in got]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
@@ -181,10 +192,12 @@ def _filter(model: Model, threshold: float):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([model.document(t.as_py(), known)[0] < threshold for t in texts], pa.bool_()))
-            if len(known) > 200_000:
-                known.clear()
+            clean = []
+            for text in batch.column(batch.schema.get_field_index("text")):
+                clean.append(model.document(text.as_py(), known)[0] < threshold)
+                if len(known) > KNOWN:
+                    known.clear()
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
     return keep
 
