@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from docdelta.llm import chat, decontaminate, oracles, pieces, pii, quality_mil, quality_rules, shards, simhash, toxicity, warc
 from docdelta.plans.scratch import scratch_path
-from docdelta.sources.tables import read_table
+from docdelta.sources.tables import read_table, widened
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return widened(read_table(spark, sf_dir, "documents"))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,26 +26,26 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = shards.assign(read_table(spark, sf_dir, "documents"), shards=24)
+    placed = shards.assign(_documents(spark, sf_dir), shards=24)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+    return quality_rules.judge(_documents(spark, sf_dir))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.find(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.groups(read_table(spark, sf_dir, "documents"))
+    return simhash.groups(_documents(spark, sf_dir))
 
 
 def op8_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_mil.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return quality_mil.classify(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return toxicity.classify(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -73,12 +77,12 @@ def pii_key(spark: SparkSession) -> str:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = _documents(spark, sf_dir).select("doc_id", "text")
     return pii.replace(rows, pii_key(spark), count="n_replaced")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    rows = _documents(spark, sf_dir).select("doc_id", "text", F.xxhash64("text").alias("h"))
     coded = pieces.encode(rows.select(F.struct("doc_id", "h").alias("k"), "text"), key="k")
     return coded.select(
         "k.doc_id", F.size("ids").cast("long").alias("n_pieces"), (F.xxhash64("decoded") == F.col("k.h")).alias("decodes"), "ids"

@@ -294,9 +294,63 @@ def test_quality_held_out(spark):
     assert quality_mil.classify(docs(spark, []), labels).count() == 0
 
 
+def test_attention_forward_and_gradient_against_plain_ones():
+    rng = np.random.default_rng(3)
+    counts = np.array([1, 4, 2, 3])
+    begin = np.r_[0, np.cumsum(counts)[:-1]]
+    x, y = rng.normal(size=(counts.sum(), 5)), np.array([0.0, 1.0, 1.0, 0.0])
+    shapes = {"W": (5, 3), "b": (3,), "V": (3, 2), "U": (3, 2), "w": (2,), "c": (3,), "d": (1,)}
+    model = quality_mil.Model(x.mean(0), x.std(0), {k: rng.normal(size=v) for k, v in shapes.items()})
+
+    def plain(bag):
+        p = model.p
+        h = [np.tanh(((v - model.mean) / model.scale) @ p["W"] + p["b"]) for v in bag]
+        e = [float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"]) for v in h]
+        a = np.exp(e) / np.exp(e).sum()
+        return 1 / (1 + np.exp(-(sum(k * v for k, v in zip(a, h)) @ p["c"] + p["d"][0])))
+
+    want = np.array([plain(x[b : b + n]) for b, n in zip(begin, counts)])
+    assert np.allclose(model.forward(x, begin, counts)[0], want)
+    loss = lambda: -np.mean([np.log(s if t else 1 - s) for s, t in zip((plain(x[b : b + n]) for b, n in zip(begin, counts)), y)])
+    for name, got in quality_mil.gradient(model, x, begin, counts, y).items():
+        for i in np.ndindex(model.p[name].shape):
+            keep = model.p[name][i]
+            up, down = [model.p[name].__setitem__(i, keep + e) or loss() for e in (1e-5, -1e-5)]
+            model.p[name][i] = keep
+            assert abs((up - down) / 2e-5 - got[i]) < 1e-6
+
+
+def test_noisy_or_and_its_gradient_against_plain_ones():
+    rng = np.random.default_rng(4)
+    at, bag_of = rng.integers(0, 6, 20), np.sort(np.r_[np.arange(8), rng.integers(0, 8, 12)])
+    doc_of_bag, y = np.array([0, 0, 1, 2, 2, 2, 3, 3]), np.array([1.0, 0.0, 1.0, 0.0, 1.0])  # the last has no sentence
+    w, b, leak = rng.normal(size=6), -1.0, -2.0
+    sig = lambda z: 1 / (1 + np.exp(-z))
+
+    def loss(w, b, leak):
+        out = 0.0
+        for d, t in enumerate(y):
+            clean = 1 - sig(leak)
+            for s in np.flatnonzero(doc_of_bag == d):
+                clean *= 1 - sig(b + w[at[bag_of == s]].sum())
+            out -= np.log(1 - clean if t else clean) / len(y)
+        return out
+
+    gw, (gb, gl) = toxicity.gradient(w, b, leak, at, bag_of, doc_of_bag, y)
+    for k in range(6):
+        e = np.eye(6)[k] * 1e-5
+        assert abs((loss(w + e, b, leak) - loss(w - e, b, leak)) / 2e-5 - gw[k]) < 1e-6
+    assert abs((loss(w, b + 1e-5, leak) - loss(w, b - 1e-5, leak)) / 2e-5 - gb) < 1e-6
+    assert abs((loss(w, b, leak + 1e-5) - loss(w, b, leak - 1e-5)) / 2e-5 - gl) < 1e-6
+    model = toxicity.Model({h: 4.0 for h in toxicity.hashed("vile")}, -3.0)
+    said = [1 - sig(4.0 * len(toxicity.hashed("vile")) - 3.0)] * 2 + [1.0]
+    score, spans = model.document("So vile. Vile again! calm here", {})
+    assert abs(score - (1 - np.prod(said))) < 1e-9 and len(spans) == 2
+
+
 # ---- pieces ---------------------------------------------------------------
 
-ODD = ["", None, " ", "  ", "   a", " a  b   ", "\n", "a\n\n b", "▁x ▁", "ключ 日本​🎉", "x" * 3000, " " * 700 + "end", "\t t\r\n", "0123 456", "\0 n\0", "aaaa aaaaaaaaaaaa", "  \n  "]
+ODD = ["", None, " ", "  ", "   a", " a  b   ", "\n", "a\n\n b", "▁x ▁", "ключ 日本​🎉", "x" * 3000, "ab" * 4000 + "ключ" * 900, "  " + "qz" * 1500, " " * 700 + "end", "\t t\r\n", "0123 456", "\0 n\0", "aaaa aaaaaaaaaaaa", "  \n  "]
 
 
 def test_pieces_equal_the_library(spark, sf):
