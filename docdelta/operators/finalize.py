@@ -22,9 +22,9 @@ def with_decisions(stored: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def batch_audit(validated: DataFrame, answers: DataFrame) -> DataFrame:
-    """One row per model batch: what was asked, whether the answer passed, and why not."""
+    """One row per model batch: what was asked, whether the answer passed, why not, and how long it took."""
     by = validated.groupBy("job_id", "batch_index").agg(F.array_sort(F.collect_list("candidate_id")).alias("candidate_ids"), F.bool_and("parse_ok").alias("parse_ok"))
-    j = by.join(answers.select("job_id", "batch_index", F.col("content").alias("response")), ["job_id", "batch_index"], "left")
+    j = by.join(answers.select("job_id", "batch_index", F.col("content").alias("response"), *(["latency_ms"] if "latency_ms" in answers.columns else [])), ["job_id", "batch_index"], "left")
     reason = F.when(F.col("response").isNull(), "model_unavailable").when(~F.col("parse_ok"), "invalid_response")
     return j.withColumn("failure_reason", reason)
 

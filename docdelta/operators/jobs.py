@@ -80,18 +80,31 @@ def set_status(jobs: DataFrame, changes: DataFrame) -> DataFrame:
     return j.select(*((out[c].alias(c) if c in out else F.col(c)) for c in jobs.columns))
 
 
+#: States whose first entry is noted in a column of their name.
+STAMPED = ("queued", "preparing", "processing", "comparing", "completed", "failed", "cancelled")
+
+
 def transition(jobs: DataFrame, moves: DataFrame) -> DataFrame:
-    """Compare-and-set moves (job_id, to_status, expected_version?, from_status?); adds ``moved``."""
-    j = jobs.join(moves, "job_id", "left")
-    asked = F.col("to_status").isNotNull()
-    legal = F.col("from_status").isNull() | (is_legal(F.col("from_status"), F.col("to_status")) & (F.col("from_status") == F.col("status")))
-    version = F.col("expected_version").isNull() | (F.col("expected_version") == F.col("state_version"))
-    open_ = F.col("to_status").isin(*TERMINAL) | ~F.col("status").isin(*TERMINAL)
-    moved = F.coalesce(asked & legal & version & open_, F.lit(False))
-    j = j.withColumn("moved", moved)
-    return j.select(
-        *(F.when(F.col("moved"), F.col("to_status")).otherwise(F.col(c)).alias(c) if c == "status" else (F.col(c) + F.col("moved").cast("int")).alias(c) if c == "state_version" else F.col(c) for c in jobs.columns), "moved"
-    )
+    """Compare-and-set moves; adds ``moved``.
+
+    ``moves``: job_id, to_status, and where given expected_version, from_status,
+    message, failure_code and at. A move sets the status, the next version, a
+    message that is not empty, a failure code, the first time of its state and the
+    time of the change.
+    """
+    given = dict(moves.dtypes)
+    of = lambda c, kind="string": F.col(f"move_.{c}") if c in given else F.lit(None).cast(kind)
+    j = jobs.join(moves.select("job_id", F.struct(*(c for c in moves.columns if c != "job_id")).alias("move_")), "job_id", "left")
+    to, at = of("to_status"), of("at", "timestamp")
+    legal = of("from_status").isNull() | (is_legal(of("from_status"), to) & (of("from_status") == F.col("status")))
+    version = of("expected_version", "int").isNull() | (of("expected_version", "int") == F.col("state_version"))
+    open_ = to.isin(*TERMINAL) | ~F.col("status").isin(*TERMINAL)
+    j = j.withColumn("moved", F.coalesce(to.isNotNull() & legal & version & open_, F.lit(False)))
+    new = {
+        "status": to, "state_version": F.col("state_version") + 1, "updated_at": at,
+        "message": F.coalesce(F.nullif(of("message"), F.lit("")), F.col("message")) if "message" in jobs.columns else None, "failure_code": F.coalesce(of("failure_code"), F.col("failure_code")) if "failure_code" in jobs.columns else None,
+    } | {f"{s}_at": F.when(to == s, F.coalesce(F.col(f"{s}_at"), at)).otherwise(F.col(f"{s}_at")) for s in STAMPED if f"{s}_at" in jobs.columns}
+    return j.select(*(F.when(F.col("moved"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns), "moved")
 
 
 def replay(log: DataFrame) -> DataFrame:
@@ -106,13 +119,25 @@ def replay(log: DataFrame) -> DataFrame:
     return by.select("job_id", F.aggregate(F.slice("log", F.lit(2), F.size("log")), start, step).alias("s")).select("job_id", "s.status", "s.moves", "s.illegal")
 
 
-def claim(jobs: DataFrame, as_of: Column, owner: str, seconds: int = 900) -> DataFrame:
-    """Jobs that a comparer may claim at ``as_of``, with their lease."""
-    free = ~F.col("comparison_claimed") & ~F.col("status").isin(*TERMINAL, "deleting") & F.col("cancel_requested_at").isNull() & (F.col("total_chunks") > 0) & (F.col("processed_chunks") >= F.col("total_chunks"))
-    return jobs.filter(free).withColumns({
-        "comparison_claimed": F.lit(True), "status": F.lit("comparing"), "lease_owner": F.lit(owner), "lease_expires_at": as_of + F.make_interval(secs=F.lit(seconds)),
+def claimable(jobs: DataFrame) -> DataFrame:
+    """Jobs that a comparer may claim."""
+    free = ~F.col("comparison_claimed") & ~F.col("status").isin(*TERMINAL, "deleting") & F.col("cancel_requested_at").isNull()
+    return jobs.filter(free & (F.col("total_chunks") > 0) & (F.col("processed_chunks") >= F.col("total_chunks")))
+
+
+def claim(jobs: DataFrame, as_of: Column, owner: Column | str, seconds: int = 900) -> DataFrame:
+    """All claimable jobs at ``as_of``, with their lease."""
+    new = {
+        "comparison_claimed": F.lit(True), "status": F.lit("comparing"), "lease_owner": F.lit(owner) if isinstance(owner, str) else owner, "lease_expires_at": as_of + F.make_interval(secs=F.lit(seconds)),
         "lease_epoch": F.col("lease_epoch") + 1, "state_version": F.col("state_version") + 1,
-    })
+    } | ({"comparing_at": F.coalesce("comparing_at", as_of)} if "comparing_at" in jobs.columns else {})
+    return claimable(jobs).withColumns(new)
+
+
+def claims(jobs: DataFrame, bids: DataFrame, as_of: Column, seconds: int = 900) -> DataFrame:
+    """Of several bids (job_id, owner, at) for a claimable job the first one wins; one row per job won."""
+    first = bids.groupBy("job_id").agg(F.min(F.struct("at", "owner")).alias("bid_"))
+    return claim(jobs.join(first, "job_id"), as_of, F.col("bid_.owner"), seconds).select(*jobs.columns)
 
 
 def recover(runs: DataFrame, jobs: DataFrame, as_of: Column, owner: str) -> tuple[DataFrame, DataFrame]:
@@ -169,9 +194,24 @@ def latest_result(results: DataFrame) -> DataFrame:
     return newest.select("job_id", "r.*")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Run numbers and event sequence numbers from 1 within the job."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy("job_id").orderBy(*order)))
+def numbered(rows: DataFrame, order: list[str], name: str, last: DataFrame | None = None) -> DataFrame:
+    """Run numbers and event sequence numbers of new rows within the job.
+
+    They go on after the last number that a job has (``last``: job_id, last), from 1 without one.
+    """
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy(*order))
+    if last is None:
+        return rows.withColumn(name, place)
+    known = last.select("job_id", F.col("last").alias("last_"))
+    return rows.join(known, "job_id", "left").withColumn(name, F.coalesce("last_", F.lit(0)) + place).drop("last_")
+
+
+def append_events(jobs: DataFrame, events: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The new events with their numbers, and the jobs with their last number."""
+    new = numbered(events, order, "seq", jobs.select("job_id", F.col("last_event_seq").alias("last")))
+    top = new.groupBy("job_id").agg(F.max("seq").alias("top_"))
+    after = jobs.join(top, "job_id", "left").select(*(F.coalesce("top_", c).alias(c) if c == "last_event_seq" else F.col(c) for c in jobs.columns))
+    return new, after
 
 
 def events_after(events: DataFrame, last_seq: int) -> DataFrame:
@@ -183,3 +223,55 @@ def progress(chunks: DataFrame) -> DataFrame:
     """completion of each job; 0 of 0 counts as complete."""
     by = chunks.groupBy("job_id").agg(F.countDistinct("chunk_index").alias("done"), F.max("total_chunks").alias("total"))
     return by.select("job_id", "done", "total", (F.col("done") >= F.col("total")).alias("complete"), F.concat_ws("/", F.col("done").cast("string"), F.col("total").cast("string")).alias("progress_text"))
+
+
+def progress_states(log: DataFrame) -> DataFrame:
+    """what a progress tracker knows of each job after its calls, in order.
+
+    ``log``: job_id, seq, op, status, total_chunks, chunk_index. Operations:
+    ``ensure`` creates a job, or refreshes it (its total if above 0; its status if
+    the new one is failed or the old one queued or preparing); ``chunk`` creates it
+    as processing, or refreshes its total and moves it from queued or preparing to
+    processing; ``done`` notes a chunk once and, where all are there, makes the job
+    ocr_ready and counts a completion; ``set`` sets the status of a known job;
+    ``fail`` creates or fails it.
+    """
+    by = log.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "status", "total_chunks", "chunk_index"))).alias("log"))
+    state = lambda known, status, total, done, completions: F.struct(known.alias("known"), status.alias("status"), total.alias("total"), done.alias("done"), completions.alias("completions"))
+    start = state(F.lit(False), F.lit(""), F.lit(0), F.array().cast("array<int>"), F.lit(0))
+
+    def step(a: Column, x: Column) -> Column:
+        early = a["status"].isin("queued", "preparing")
+        total = F.when(x["total_chunks"] > 0, x["total_chunks"]).otherwise(a["total"])
+        done = F.array_append(a["done"], x["chunk_index"])
+        full = (F.size(done) >= a["total"]) & (a["status"] != "ocr_ready")
+        made = lambda status, n: state(F.lit(True), status, n, a["done"], a["completions"])
+        return (
+            F.when((x["op"] == "ensure") & ~a["known"], made(x["status"], F.greatest(F.lit(0), x["total_chunks"])))
+            .when(x["op"] == "ensure", made(F.when((x["status"] == "failed") | early, x["status"]).otherwise(a["status"]), total))
+            .when((x["op"] == "chunk") & ~a["known"], made(F.lit("processing"), x["total_chunks"]))
+            .when(x["op"] == "chunk", made(F.when(early, "processing").otherwise(a["status"]), total))
+            .when((x["op"] == "done") & a["known"] & ~F.array_contains(a["done"], x["chunk_index"]), state(a["known"], F.when(full, "ocr_ready").otherwise(a["status"]), a["total"], done, a["completions"] + full.cast("int")))
+            .when((x["op"] == "set") & a["known"], made(x["status"], a["total"]))
+            .when(x["op"] == "fail", made(F.lit("failed"), a["total"]))
+            .otherwise(a)
+        )
+
+    out = by.select("job_id", F.aggregate("log", start, step).alias("s")).filter("s.known")
+    return out.select("job_id", "s.status", F.col("s.total").alias("total_chunks"), F.size("s.done").alias("processed_chunks"), "s.completions")
+
+
+def after_pages(jobs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Jobs after page pairs were stored (``stored``: job_id, stored_chunks, message_total); adds ``ready``.
+
+    The count never falls; a status is not taken back, nor is a request to cancel.
+    """
+    j = jobs.join(stored, "job_id", "left")
+    hit = F.col("stored_chunks").isNotNull()
+    ready = hit & (F.col("message_total") > 0) & (F.col("stored_chunks") >= F.col("message_total"))
+    held = F.col("status").isin(*ADVANCED, "cancel_requested")
+    new = {
+        "status": F.when(hit & ~held, F.when(ready, "ocr_ready").otherwise("processing")).otherwise(F.col("status")),
+        "processed_chunks": F.greatest("processed_chunks", "stored_chunks"), "total_chunks": F.greatest("total_chunks", "message_total"),
+    }
+    return j.select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns), F.coalesce(ready, F.lit(False)).alias("ready"))

@@ -87,15 +87,17 @@ def resolved(refs: DataFrame, objects: DataFrame) -> DataFrame:
     """Object references with their content: text decoded, anything else in base64.
 
     ``refs``: object_key, content, content_type, format, filename. ``objects``:
-    object_key and content (binary). Inline content wins without a key.
+    object_key and content (binary). Inline content wins without a key; a key may
+    also stand in a column ``key``; only text/* is text behind a key.
     """
+    refs = refs.withColumn("object_key", F.coalesce("object_key", "key")).drop("key") if "key" in refs.columns else refs
     found = refs.join(objects.withColumnRenamed("content", "bytes"), "object_key", "left")
     kind = F.coalesce("content_type", F.lit("image/png"))
-    is_text = kind.startswith("text/")
     keyed = F.col("object_key").isNotNull()
+    is_text = kind.startswith("text/") | (~keyed & (kind == "text"))
     return found.select(
         "object_key", F.when(keyed, F.when(is_text, F.decode("bytes", "UTF-8")).otherwise(F.base64("bytes"))).otherwise(F.col("content")).alias("content"),
-        F.when(is_text | (kind == "text"), "text").otherwise("image").alias("content_type"),
+        F.when(is_text, "text").otherwise("image").alias("content_type"),
         F.coalesce("format", F.when(F.contains(kind, F.lit("png")), "pdf").otherwise("docx")).alias("format"),
         F.coalesce("filename", F.substring_index("object_key", "/", -1)).alias("filename"),
     )

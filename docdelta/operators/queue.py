@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -66,12 +68,42 @@ def outbox_due(outbox: DataFrame, as_of: Column, limit: int = 20, timeout: int =
     return outbox.filter(F.col("published_at").isNull() & stale).orderBy("created_at", "event_id").limit(limit)
 
 
+def enqueued(outbox: DataFrame, messages: DataFrame) -> DataFrame:
+    """The outbox with new messages (job_id, topic, message_key, payload, created_at); ids follow from what is sent."""
+    id_ = F.sha2(F.concat_ws("|", "job_id", "topic", "message_key", "payload", F.col("created_at").cast("string")).cast("binary"), 256)
+    return outbox.unionByName(messages.withColumn("event_id", id_).withColumn("publish_attempts", F.lit(0)), allowMissingColumns=True)
+
+
+def outbox_claimed(outbox: DataFrame, as_of: Column, limit: int = 20, timeout: int = 30) -> DataFrame:
+    """The outbox after a claim; ``claimed`` marks the rows that were due, at most ``limit``.
+
+    Attempts are counted once, when their outcome is marked.
+    """
+    due = outbox_due(outbox, as_of, limit, timeout).select("event_id", F.lit(True).alias("claimed"))
+    j = outbox.join(F.broadcast(due), "event_id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+    return j.select(*(F.when(F.col("claimed"), as_of).otherwise(F.col(c)).alias(c) if c == "claimed_at" else F.col(c) for c in outbox.columns), "claimed")
+
+
+def relayed(outbox: DataFrame, publish: Callable[[Row], None], as_of: Column, limit: int = 20) -> DataFrame:
+    """One round of the relay: due rows (at most ``limit``) are claimed, published one by one and marked."""
+    spark, kind = outbox.sparkSession, dict(outbox.dtypes)["event_id"]
+    after = outbox_claimed(outbox, as_of, limit)
+    said = []
+    for row in after.filter("claimed").orderBy("created_at", "event_id").limit(limit).collect():
+        try:
+            publish(row)
+            said.append((row["event_id"], None))
+        except Exception as e:  # any failure is noted and the row stays due
+            said.append((row["event_id"], str(e)))
+    return outbox_marked(after.drop("claimed"), spark.createDataFrame(said, f"event_id {kind}, error string"), as_of)
+
+
 def outbox_marked(outbox: DataFrame, results: DataFrame, at: Column) -> DataFrame:
     """Published, or one more failed attempt with its error cut to 1000."""
     j = outbox.join(results.select("event_id", F.col("error").alias("e"), F.lit(True).alias("tried")), "event_id", "left")
     sent = F.coalesce(F.col("tried") & F.col("e").isNull(), F.lit(False))
     lost = F.coalesce(F.col("tried") & F.col("e").isNotNull(), F.lit(False))
-    out = {"published_at": F.when(sent, at).otherwise(F.col("published_at")), "last_error": F.when(lost, F.substring("e", 1, 1000)).otherwise(F.col("last_error")), "publish_attempts": F.col("publish_attempts") + F.coalesce(F.col("tried").cast("int"), F.lit(0)), "claimed_at": F.when(~lost, F.col("claimed_at"))}
+    out = {"published_at": F.when(sent, at).otherwise(F.col("published_at")), "last_error": F.when(lost, F.substring("e", 1, 1000)).when(~sent, F.col("last_error")), "publish_attempts": F.col("publish_attempts") + F.coalesce(F.col("tried").cast("int"), F.lit(0)), "claimed_at": F.when(~lost, F.col("claimed_at"))}
     return j.select(*(out[c].alias(c) if c in out else F.col(c) for c in outbox.columns))
 
 

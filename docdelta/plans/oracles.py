@@ -63,6 +63,35 @@ _LINE_PAIRS = f"""{_PAIRS},
   zipped AS (SELECT job_id, i AS line_no, coalesce(l1[i + 1], '') AS a, coalesce(l2[i + 1], '') AS b
              FROM (SELECT job_id, l1, l2, unnest(range(0, greatest(len(l1), len(l2)))) AS i FROM ab)),
   line_pairs AS (SELECT * FROM zipped WHERE a <> b)"""
+
+
+def _blocks(src: str, keys: str) -> str:
+    """CTEs up to blk(keys, i, sub, part, cut, kind, text): the blocks of the texts of ``src`` (keys, text), in order."""
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    of = lambda a: ", ".join(f"{a}.{k}" for k in keys.split(", "))
+    longer = lambda open_, x: f"CASE WHEN {open_} = '' THEN {x} ELSE {open_} || ' ' || {x} END"
+    after = lambda open_, x: f"CASE WHEN {x}.l = '' OR {x}.kind IS NOT NULL OR {x}.stop OR length({longer(open_, x + '.l')}) >= 4000 THEN '' ELSE {longer(open_, x + '.l')} END"
+    pack = lambda open_, x: f"CASE WHEN length({x}) > 4000 THEN '' WHEN {open_} <> '' AND length({open_} || ' ' || {x}) > 4000 THEN {x} ELSE {longer(open_, x)} END"
+    return rf"""
+  parts_ AS (SELECT {keys}, string_split({_layout_free('text')}, chr(10)) AS p FROM {src}),
+  raw_ AS (SELECT {keys}, unnest(p) AS l, unnest(range(len(p))) AS i, len(p) AS n FROM parts_),
+  ln AS (SELECT *, {_KIND} AS kind, regexp_matches(l, '[.!?…;:]$') AS stop FROM raw_),
+  fold AS (SELECT {keys}, i, n, l, kind, stop, '' AS before, {after("''", 'ln')} AS after FROM ln WHERE i = 0
+    UNION ALL SELECT {of('x')}, x.i, x.n, x.l, x.kind, x.stop, f.after, {after('f.after', 'x')} FROM fold f JOIN ln x ON {on('x', 'f')} AND x.i = f.i + 1),
+  emitted AS (SELECT {keys}, i, 0 AS sub, 'paragraph' AS kind, before AS text FROM fold WHERE (l = '' OR kind IS NOT NULL) AND before <> ''
+    UNION ALL SELECT {keys}, i, 1, kind, l FROM ln WHERE kind IS NOT NULL
+    UNION ALL SELECT {keys}, i, 1, 'paragraph', {longer('before', 'l')} FROM fold WHERE l <> '' AND kind IS NULL AND (stop OR length({longer('before', 'l')}) >= 4000)
+    UNION ALL SELECT {keys}, i, 2, 'paragraph', after FROM fold WHERE i = n - 1 AND after <> ''),
+  wide AS (SELECT {keys}, i, sub, string_split({_re('text', rf'([.!?…;:]){_S}+', r'\1' + chr(1))}, chr(1)) AS p FROM emitted WHERE kind = 'paragraph' AND length(text) > 4000),
+  sn AS (SELECT {keys}, i, sub, unnest(p) AS s, unnest(range(len(p))) AS j, len(p) AS n FROM wide),
+  pk AS (SELECT {keys}, i, sub, j, n, s, '' AS before, {pack("''", 's')} AS after FROM sn WHERE j = 0
+    UNION ALL SELECT {of('x')}, x.i, x.sub, x.j, x.n, x.s, f.after, {pack('f.after', 'x.s')} FROM pk f JOIN sn x ON {on('x', 'f')} AND x.i = f.i AND x.sub = f.sub AND x.j = f.j + 1),
+  blk AS (SELECT {keys}, i, sub, 0 AS part, 0 AS cut, kind, text FROM emitted WHERE kind <> 'paragraph' OR length(text) <= 4000
+    UNION ALL SELECT {keys}, i, sub, j, -1, 'paragraph', before FROM pk WHERE before <> '' AND (length(s) > 4000 OR length(before || ' ' || s) > 4000)
+    UNION ALL SELECT {keys}, i, sub, j, c, 'paragraph', substring(s, c * 4000 + 1, 4000) FROM (SELECT *, unnest(range((length(s) - 1) // 4000 + 1)) AS c FROM pk WHERE length(s) > 4000)
+    UNION ALL SELECT {keys}, i, sub, n, 0, 'paragraph', after FROM pk WHERE j = n - 1 AND after <> '')"""
+
+
 _CONV = """
   conv AS (SELECT CAST(conv_id AS VARCHAR) AS job_id, CAST(floor(turn / 2) + 1 AS INTEGER) AS page_number, CAST(turn % 2 + 1 AS INTEGER) AS side, text FROM conversations)"""
 _LOG = """
@@ -111,6 +140,28 @@ _TECH = f"""CASE WHEN a <> b AND {_DASH.format(x='a')} = {_DASH.format(x='b')} T
 _AS_OF = "TIMESTAMP '2024-01-20 00:00:00'"
 _CLIP = "CASE WHEN length(t) > 200 THEN " + _re("substring(t, 1, 199)", rf"{_S}+$") + " || '…' ELSE t END"
 
+_SAME = lambda a, b: rf"CASE WHEN {a} = '' OR {b} = '' THEN ({a} = '') = ({b} = '') ELSE {a} = {b} OR (NOT regexp_matches(CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END, '^[\p{{Nd}}²³¹]{{1,4}}$') AND contains(CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END, CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END)) END"
+_TYPE = lambda a, b: f"""CASE WHEN {a} <> {b} AND {_DASH.format(x=a)} = {_DASH.format(x=b)} THEN 'dash' WHEN contains({a} || {b}, '**') OR contains({a} || {b}, '#') THEN 'markdown'
+  WHEN regexp_matches({a}, '{_NUMBERING}') OR regexp_matches({b}, '{_NUMBERING}') THEN 'numbering' WHEN {_literal_key(a)} = {_literal_key(b)} THEN 'line_wrap' ELSE 'numbering' END"""
+_DECORATED = r"""
+  words AS (SELECT doc_id, regexp_extract(text, '([A-Za-z]+)', 1) AS w, doc_id % 10 AS k FROM documents),
+  made AS (SELECT doc_id, CAST(floor(doc_id / 20.0) AS BIGINT) AS job_id, CAST(floor(doc_id / 2.0) AS INTEGER) AS alignment_id,
+    CASE k WHEN 0 THEN w || ' – x' WHEN 1 THEN '4.1.' WHEN 2 THEN '•' WHEN 3 THEN '##' WHEN 4 THEN '12' WHEN 5 THEN upper(w) WHEN 6 THEN '**' || w || '**' WHEN 7 THEN w WHEN 8 THEN '1) ' || w ELSE '—' END AS c1,
+    CASE k WHEN 0 THEN w || ' - x' WHEN 6 THEN w WHEN 7 THEN w || 'x' WHEN 8 THEN w ELSE '' END AS c2,
+    CASE WHEN k IN (1, 2, 8) THEN 'start' WHEN k IN (4, 5, 9) THEN 'whole_block' ELSE 'middle' END AS position,
+    CASE k WHEN 5 THEN upper(w) || ' ' || upper(w) WHEN 9 THEN '—' ELSE '' END AS near FROM words WHERE w <> ''),
+  cand AS (SELECT *, CASE WHEN near <> '' THEN near ELSE c1 END AS e1, c2 AS e2, CASE WHEN c1 <> '' THEN c1 ELSE c2 END AS chg FROM made)"""
+_RULE = rf"""CASE WHEN c1 <> c2 AND {_DASH.format(x='c1')} = {_DASH.format(x='c2')} THEN 'dash'
+  WHEN regexp_matches(c1, '{_NUMBERING}') OR regexp_matches(c2, '{_NUMBERING}') THEN 'numbering'
+  WHEN position = 'start' AND regexp_matches(chg, '^[•▪◦‣*–—-]$') THEN 'list_marker' WHEN regexp_matches(chg, '^(?:#{{1,6}}|\*+|_+|`+)$') THEN 'markdown'
+  WHEN position = 'whole_block' AND regexp_matches(chg, '^\p{{Nd}}+$') AND regexp_matches(e1 || e2, '^\p{{Nd}}+$') THEN 'page_number'
+  WHEN position = 'whole_block' AND length(chg) <= 80 AND (NOT regexp_matches(chg, '[\p{{L}}\p{{N}}]') OR (length({_re('chg', r'[^\p{Lu}]')}) >= 0.8 * length({_re('chg', r'[^\p{L}]')}) AND len(string_split(lower(e1 || ' ' || e2), lower(chg))) > 2)) THEN 'header_footer'
+  WHEN c1 <> '' AND c2 <> '' AND {_squeeze(_line_key(_DASH.format(x='c1')))} = {_squeeze(_line_key(_DASH.format(x='c2')))} THEN {_TYPE('c1', 'c2')} END"""
+_DECIDED = """
+  kinds AS (SELECT *, CASE WHEN event_type IN ('signup', 'view') THEN 'technical' WHEN event_type = 'click' THEN 'ocr_uncertain' WHEN event_type = 'error' THEN 'alignment_error' ELSE 'substantive' END AS category FROM events),
+  decided AS (SELECT CAST(user_id AS VARCHAR) AS job_id, category, CASE event_type WHEN 'signup' THEN 'deterministic' WHEN 'view' THEN 'llm' WHEN 'click' THEN 'fallback' ELSE 'alignment_retry' END AS decider,
+    event_id % 3 > 0 AND (user_id % 5 > 0 OR category = 'technical') AND user_id % 7 > 0 AS shown FROM kinds)"""
+
 ORACLES: dict[str, str] = {
     "normalize_technical_docs": f"SELECT doc_id, length(t) AS n, sha256(t) AS sha FROM (SELECT doc_id, {_layout_free('text')} AS t FROM documents)",
     "collapse_whitespace_docs": f"SELECT doc_id, length(t) AS n, sha256(t) AS sha FROM (SELECT doc_id, {_literal_key('text')} AS t FROM documents)",
@@ -133,6 +184,36 @@ ORACLES: dict[str, str] = {
     "technical_type_pairs": f"WITH {_LINE_PAIRS} SELECT job_id, line_no, a <> b AND {_DASH.format(x='a')} = {_DASH.format(x='b')} AS dash, {_TECH} AS technical_type FROM line_pairs",
     "numbering_words": f"SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n]')) AS w FROM documents) WHERE regexp_matches(w, '{_NUMBERING}') GROUP BY 1",
     "model_answers": "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(1 AS BIGINT) END AS n, CASE WHEN event_type = 'error' THEN NULL ELSE 'e' || event_id END AS candidate_id FROM events",
+    "block_segments": f"WITH RECURSIVE src AS (SELECT doc_id, text FROM documents), {_blocks('src', 'doc_id')} SELECT doc_id, kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM blk GROUP BY 1, 2",
+    "block_neighbours": f"""WITH RECURSIVE {_SIDES}, {_blocks('pages_', 'job_id, side, page')},
+      o AS (SELECT job_id, side, page, text, row_number() OVER d - 1 AS idx, row_number() OVER (PARTITION BY job_id, side, page ORDER BY i, sub, part, cut) AS block, lag(text, 1, '') OVER d AS previous, lead(text, 1, '') OVER d AS next
+        FROM blk WINDOW d AS (PARTITION BY job_id, side ORDER BY page, i, sub, part, cut))
+      SELECT job_id, side, idx AS index, page, block, sha256(previous || '|' || text || '|' || next) AS sha FROM o""",
+    "alignment_texts": f"""WITH RECURSIVE {_SIDES}, {_blocks('pages_', 'job_id, side, page')}, t AS (SELECT job_id, side, string_agg(text, ' ' ORDER BY page, i, sub, part, cut) AS t FROM blk GROUP BY 1, 2)
+      SELECT job_id, side, length(t) AS n, sha256(t) AS sha FROM t""",
+    "dedupe_lines": rf"""WITH RECURSIVE {_LINE_PAIRS}, o AS (SELECT job_id, format('{{}}:{{:05d}}', job_id, line_no) AS id, row_number() OVER (PARTITION BY job_id ORDER BY line_no) AS k, lower({_literal_key('a')}) AS k1, lower({_literal_key('b')}) AS k2 FROM line_pairs),
+      r AS (SELECT job_id, id, k, CAST(NULL AS VARCHAR) AS duplicate_of, [struct_pack(id := id, k1 := k1, k2 := k2)] AS kept FROM o WHERE k = 1 UNION ALL
+        SELECT job_id, id, k, hit, CASE WHEN hit IS NULL THEN list_append(kept, struct_pack(id := id, k1 := k1, k2 := k2)) ELSE kept END
+        FROM (SELECT o.*, r.kept, list_filter(r.kept, lambda q: {_SAME('q.k1', 'o.k1')} AND {_SAME('q.k2', 'o.k2')})[1].id AS hit FROM r JOIN o ON o.job_id = r.job_id AND o.k = r.k + 1))
+      SELECT job_id, id AS candidate_id, duplicate_of FROM r""",
+    "batch_packing_lines": f"""WITH RECURSIVE {_LINE_PAIRS}, o AS (SELECT job_id, format('{{}}:{{:05d}}', job_id, line_no) AS id, row_number() OVER (PARTITION BY job_id ORDER BY line_no) AS k, length(a) + length(b) + 300 AS size FROM line_pairs),
+      r AS (SELECT job_id, id, k, CAST(1 AS BIGINT) AS batch, 1 AS n, size AS chars FROM o WHERE k = 1 UNION ALL
+        SELECT o.job_id, o.id, o.k, r.batch + CASE WHEN r.n >= 6 OR r.chars + o.size > 10000 THEN 1 ELSE 0 END, CASE WHEN r.n >= 6 OR r.chars + o.size > 10000 THEN 1 ELSE r.n + 1 END,
+          CASE WHEN r.n >= 6 OR r.chars + o.size > 10000 THEN o.size ELSE r.chars + o.size END FROM r JOIN o ON o.job_id = r.job_id AND o.k = r.k + 1)
+      SELECT job_id, id AS candidate_id, batch AS batch_index FROM r""",
+    "technical_rules": f"WITH {_DECORATED} SELECT doc_id, {_RULE} AS technical_type FROM cand",
+    "group_technical": f"""WITH {_DECORATED}, g AS (SELECT *, row_number() OVER w AS pos, first(e1) OVER w AS g1, first(e2) OVER w AS g2 FROM cand WINDOW w AS (PARTITION BY job_id, alignment_id ORDER BY doc_id)),
+      m AS (SELECT alignment_id, min(doc_id) AS sort_order, any_value(g1) AS g1, any_value(g2) AS g2, coalesce(string_agg(c1, ' ' ORDER BY doc_id) FILTER (WHERE c1 <> ''), '') AS changed1, coalesce(string_agg(c2, ' ' ORDER BY doc_id) FILTER (WHERE c2 <> ''), '') AS changed2 FROM g GROUP BY job_id, alignment_id)
+      SELECT alignment_id, sort_order, {_TYPE('g1', 'g2')} AS group_type, changed1, changed2 FROM m WHERE g1 <> '' AND g2 <> '' AND {_squeeze(_line_key(_DASH.format(x='g1')))} = {_squeeze(_line_key(_DASH.format(x='g2')))}""",
+    "fallback_decisions": """WITH b AS (SELECT event_id, max(event_type) OVER (PARTITION BY CAST(floor(event_id / 4.0) AS BIGINT)) AS t FROM events)
+      SELECT CAST(event_id AS VARCHAR) AS candidate_id, 'ocr_uncertain' AS category, CAST(NULL AS VARCHAR) AS technical_type, CASE WHEN t = 'view' THEN 'model_unavailable' ELSE 'invalid_response' END AS reason,
+        0.0::DOUBLE AS confidence, 'fallback' AS classified_by, FALSE AS parse_ok FROM b""",
+    "candidate_ids": """WITH o AS (SELECT CAST(l_orderkey AS VARCHAR) AS job_id, CAST(l_linenumber AS BIGINT) AS ord, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 3, l_linenumber) AS sort_order FROM lineitem)
+      SELECT *, format('{}:c{:05d}', job_id, sort_order) AS candidate_id FROM o""",
+    "shown_counts": f"""WITH {_DECIDED} SELECT job_id, count(*) FILTER (WHERE category = 'technical' AND decider = 'deterministic') AS deterministic_technical, count(*) FILTER (WHERE decider IN ('llm', 'alignment_retry')) AS llm_classified,
+        {", ".join(f"count(*) FILTER (WHERE category = '{c}') AS n_{c}" for c in ("substantive", "technical", "alignment_error", "ocr_uncertain"))} FROM decided WHERE shown GROUP BY 1""",
+    "event_verdicts": f"""WITH {_DECIDED} SELECT job_id, CASE WHEN count(*) FILTER (WHERE shown) = 0 THEN 'identical' WHEN bool_and(category = 'technical') FILTER (WHERE shown) THEN 'content_equal' ELSE 'different' END AS verdict,
+        count(*) FILTER (WHERE shown) AS n_differences FROM decided GROUP BY 1""",
     "special_blocks": f"""WITH l AS (SELECT doc_id, unnest(string_split({_layout_free('text')}, chr(10))) AS l FROM documents), k AS (SELECT doc_id, {_KIND} AS kind FROM l)
       SELECT doc_id, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY 1, 2""",
     "pair_verdict_literal": f"WITH {_PAIRS} SELECT CASE WHEN {_literal_key('text1')} = {_literal_key('text2')} THEN 'identical' ELSE 'different' END AS verdict, count(*) AS n FROM pairs GROUP BY 1",
@@ -175,6 +256,33 @@ ORACLES: dict[str, str] = {
     "guarded_status": f"""WITH {_JOBS}, h AS (SELECT *, job_id % 2 = 0 AS hit, status = 'completed' AS sticky FROM jobs_)
       SELECT job_id, CASE WHEN hit AND NOT sticky THEN 'failed' ELSE status END AS status, CASE WHEN hit AND NOT sticky THEN 'x' ELSE 'm' END AS message, CASE WHEN hit THEN 'pipeline_error' END AS failure_code,
         CASE WHEN hit AND NOT sticky THEN {_AS_OF} END AS failed_at, CASE WHEN hit THEN FALSE ELSE comparison_claimed END AS comparison_claimed, CASE WHEN NOT hit THEN lease_owner END AS lease_owner, CAST(1 + CAST(hit AS INTEGER) AS INTEGER) AS state_version FROM h""",
+    "claim_winners": f"""WITH {_JOBS}, bids AS (SELECT l_orderkey AS job_id, 'w' || l_suppkey AS owner, l_shipdate AS stamp FROM lineitem), winner AS (SELECT job_id, owner FROM bids QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY stamp, owner) = 1)
+      SELECT job_id, 'comparing' AS status, owner AS lease_owner, CAST(1 AS BIGINT) AS lease_epoch, {_AS_OF} + INTERVAL 900 SECOND AS lease_expires_at FROM jobs_ JOIN winner USING (job_id)
+      WHERE NOT comparison_claimed AND status <> 'completed' AND job_id % 11 <> 0 AND processed_chunks >= 4""",
+    "run_numbers_continued": f"""WITH {_LOG}, last AS (SELECT job_id, count(*) AS n FROM log WHERE status = 'ocr_ready' GROUP BY 1)
+      SELECT seq AS event_id, coalesce(n, 0) + row_number() OVER (PARTITION BY log.job_id ORDER BY ts, seq) AS run_number FROM log LEFT JOIN last ON last.job_id = log.job_id WHERE status = 'failed'""",
+    "event_append": "SELECT o_orderkey AS job_id, CAST(o_orderkey % 4 + count(l_orderkey) AS BIGINT) AS last_event_seq FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
+    "transition_moves": f"""WITH {_JOBS}, m AS (SELECT job_id, status, job_id % 3 AS version, CASE WHEN job_id % 2 = 0 THEN created_at END AS completed_at, CASE WHEN job_id % 2 = 0 THEN 'completed' WHEN job_id % 5 = 0 THEN 'failed' ELSE 'comparing' END AS to_status,
+          CASE job_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 END AS want, CASE WHEN job_id % 4 < 2 THEN 'comparing' END AS from_status FROM jobs_),
+        ok AS (SELECT *, coalesce((want IS NULL OR want = version) AND (from_status IS NULL OR (from_status = status)) AND (to_status IN ('completed', 'failed') OR status NOT IN ('completed', 'failed')), FALSE) AS moved FROM m)
+      SELECT job_id, CASE WHEN moved THEN to_status ELSE status END AS status, CASE WHEN moved AND job_id % 6 = 0 THEN 'done' ELSE 'm' END AS message, CASE WHEN moved AND job_id % 5 = 0 THEN 'x' END AS failure_code, CAST(version + CAST(moved AS INTEGER) AS BIGINT) AS state_version,
+        CASE WHEN moved AND to_status = 'failed' THEN {_AS_OF} END AS failed_at, CASE WHEN moved AND to_status = 'completed' THEN coalesce(completed_at, {_AS_OF}) ELSE completed_at END AS completed_at, moved FROM ok""",
+    "progress_states": """WITH RECURSIVE o AS (SELECT CAST(user_id AS VARCHAR) AS job_id, event_type AS t, event_id % 4 AS total, event_id % 6 AS chunk, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+      r AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS k, n, FALSE AS known, '' AS status, CAST(0 AS BIGINT) AS total, CAST([] AS BIGINT[]) AS done, CAST(0 AS BIGINT) AS fires FROM o UNION ALL
+        SELECT job_id, k, n, known OR t IN ('signup', 'view', 'error'),
+          CASE t WHEN 'signup' THEN CASE WHEN NOT known OR status IN ('queued', 'preparing') THEN 'queued' ELSE status END WHEN 'view' THEN CASE WHEN NOT known OR status IN ('queued', 'preparing') THEN 'processing' ELSE status END
+            WHEN 'click' THEN CASE WHEN full_ THEN 'ocr_ready' ELSE status END WHEN 'purchase' THEN CASE WHEN known THEN 'comparing' ELSE status END ELSE 'failed' END,
+          CASE WHEN t IN ('signup', 'view') AND (NOT known OR told > 0) THEN told ELSE total END, CASE WHEN fresh THEN list_append(done, chunk) ELSE done END, fires + CAST(full_ AS BIGINT)
+        FROM (SELECT *, fresh AND len(done) + 1 >= total AND status <> 'ocr_ready' AS full_ FROM (SELECT r.job_id, o.k, o.n, r.known, r.status, r.total, r.done, r.fires, o.t, o.total AS told, o.chunk,
+          o.t = 'click' AND r.known AND NOT list_contains(r.done, o.chunk) AS fresh FROM r JOIN o ON o.job_id = r.job_id AND o.k = r.k + 1)))
+      SELECT job_id, status, total AS total_chunks, CAST(len(done) AS BIGINT) AS processed_chunks, fires AS completions FROM r WHERE k = n AND known""",
+    "page_pair_save": f"""WITH {_CONV}, both_ AS (SELECT job_id, count(*) AS stored FROM (SELECT job_id, page_number FROM conv GROUP BY 1, 2 HAVING count(DISTINCT side) = 2) GROUP BY 1), j AS (SELECT job_id, CAST(job_id AS INTEGER) % 5 AS k, max(page_number) AS total FROM conv GROUP BY 1),
+      s AS (SELECT *, ['queued', 'processing', 'cancel_requested', 'completed', 'failed'][k + 1] AS status FROM j LEFT JOIN both_ USING (job_id))
+      SELECT job_id, CASE WHEN stored IS NOT NULL AND k < 2 THEN CASE WHEN stored >= total THEN 'ocr_ready' ELSE 'processing' END ELSE status END AS status, CAST(greatest(k * 2, coalesce(stored, 0)) AS BIGINT) AS processed_chunks,
+        CAST(CASE WHEN stored IS NOT NULL THEN total ELSE 0 END AS BIGINT) AS total_chunks, coalesce(stored >= total, FALSE) AS ready FROM s""",
+    "status_relay": "SELECT CAST(event_id AS VARCHAR) AS job_id, event_type AS status, CAST(1 AS BIGINT) AS processed_chunks FROM events WHERE event_type NOT IN ('error', 'signup')",
+    "outbox_claim_marked": f"""WITH o AS (SELECT event_id, event_type, ts, CASE WHEN event_id % 5 = 0 THEN ts END AS held FROM events), due AS (SELECT event_id FROM o WHERE event_type <> 'purchase' AND (held IS NULL OR held < {_AS_OF} - INTERVAL 30 SECOND) ORDER BY ts, event_id LIMIT 20)
+      SELECT event_id, event_id IN (SELECT event_id FROM due) AS claimed, CASE WHEN event_id IN (SELECT event_id FROM due) THEN {_AS_OF} ELSE held END AS claimed_at FROM o""",
     "inbox_dedupe": "SELECT event_type AS consumer_group, user_id % 40 AS event_id, arg_min(e.event_id, (ts, e.event_id)) AS first_event FROM events e GROUP BY 1, 2",
     "lease_next": f"""WITH w AS (SELECT event_id AS task_id, event_type AS stage, ts, event_id % 9 AS attempt, CASE WHEN event_id % 4 = 0 THEN 'leased' WHEN event_id % 11 = 0 THEN 'completed' ELSE 'pending' END AS status FROM events)
       SELECT stage, task_id, 'leased' AS status, attempt + 1 AS attempt, {_AS_OF} + INTERVAL 900 SECOND AS lease_expires_at FROM w

@@ -205,6 +205,95 @@ def dedupe_lines(spark, sf):
     return classify.duplicates(rows).select("job_id", "candidate_id", "duplicate_of")
 
 
+@query
+def alignment_texts(spark, sf):
+    """What the alignments of a job hold of each side, in order; no block may be lost, doubled or moved."""
+    a = align.alignments(segment.blocks(views.doc_pages(views.doc_pairs(spark, sf))))
+    sides = F.array(*(F.struct(F.lit(n).alias("side"), F.col(f"{s}.text").alias("text")) for n, s in ((1, "left"), (2, "right"))))
+    rows = a.select("job_id", "alignment_id", F.inline(sides)).filter("text IS NOT NULL")
+    by = rows.groupBy("job_id", "side").agg(F.array_sort(F.collect_list(F.struct("alignment_id", "text"))).alias("all"))
+    t = F.array_join(F.transform("all", lambda x: x["text"]), " ")
+    return by.select("job_id", "side", F.length(t).cast("long").alias("n"), F.sha2(t.cast("binary"), 256).alias("sha"))
+
+
+@query
+def batch_packing_lines(spark, sf):
+    """D14 over the differing lines of every pair, as candidates whose evidence they are."""
+    none = [F.lit("").alias(f"{c}{s}") for c in ("previous", "next") for s in (1, 2)]
+    rows = _line_pairs(spark, sf).select("job_id", F.col("line_no").alias("sort_order"), F.format_string("%s:%05d", "job_id", "line_no").alias("candidate_id"), F.col("a").alias("evidence1"), F.col("b").alias("evidence2"), *none)
+    return classify.batches(rows).select("job_id", "candidate_id", F.col("batch_index").cast("long").alias("batch_index"))
+
+
+def _decorated(spark, sf) -> DataFrame:
+    """Candidates made of the first word of each document, with one of ten decorations by its id."""
+    d = _docs(spark, sf).select("doc_id", F.regexp_extract("text", "([A-Za-z]+)", 1).alias("w")).filter("w <> ''")
+    k = F.col("doc_id") % 10
+    pick = lambda *values: F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), (k + 1).cast("int"))
+    w, up = F.col("w"), F.upper("w")
+    c = lambda *x: F.concat(*(v if isinstance(v, Column) else F.lit(v) for v in x))
+    d = d.select(
+        "doc_id", F.floor(F.col("doc_id") / 20).cast("string").alias("job_id"), F.floor(F.col("doc_id") / 2).cast("int").alias("alignment_id"), F.col("doc_id").cast("int").alias("sort_order"),
+        pick(c(w, " – x"), "4.1.", "•", "##", "12", up, c("**", w, "**"), w, c("1) ", w), "—").alias("changed1"),
+        pick(c(w, " - x"), "", "", "", "", "", w, c(w, "x"), w, "").alias("changed2"),
+        pick("middle", "start", "start", "middle", "whole_block", "whole_block", "middle", "middle", "start", "whole_block").alias("change_position"),
+        pick("", "", "", "", "", c(up, " ", up), "", "", "", "—").alias("near"),
+    )
+    flat = {f"{c}{s}": F.lit("") for c in ("previous", "next") for s in (1, 2)} | {f"file{s}_{c}": F.lit(1) for c in ("page", "block") for s in (1, 2)} | {f"file{s}_page_block_count": F.lit(9) for s in (1, 2)} | {f"file{s}_was_ocr": F.lit(False) for s in (1, 2)}
+    d = d.withColumns(flat | {"evidence1": F.when(F.col("near") != "", F.col("near")).otherwise(F.col("changed1")), "evidence2": F.col("changed2"), "change_tags": F.array(F.lit("literal"))})
+    return d.withColumns({"candidate_id": F.concat(F.lit("c"), F.col("doc_id").cast("string")), "file1_line": F.col("changed1"), "file2_line": F.col("changed2")})
+
+
+@query
+def technical_rules(spark, sf):
+    """E5, C12-C16 over decorated words."""
+    return _decorated(spark, sf).select("doc_id", fn.technical_rule().alias("technical_type"))
+
+
+@query
+def group_technical(spark, sf):
+    """Alignments of two decorated words each, merged where the first one is equal but for decoration."""
+    m = classify.merged_groups(classify.grouped_rules(_decorated(spark, sf)))
+    return m.select("alignment_id", "sort_order", "group_type", "changed1", "changed2")
+
+
+@query
+def fallback_decisions(spark, sf):
+    """Batches of four events without an answer, or with one that is no JSON."""
+    e = read_table(spark, sf, "events").select("event_id", "event_type", F.floor(F.col("event_id") / 4).cast("int").alias("batch_index"))
+    expected = e.select(F.lit("j").alias("job_id"), "batch_index", F.col("event_id").cast("string").alias("candidate_id"), F.lit("x").alias("left_change"), F.lit("y").alias("right_change"))
+    answers = e.groupBy("batch_index").agg(F.max("event_type").alias("t")).select(F.lit("j").alias("job_id"), "batch_index", F.when(F.col("t") == "view", F.lit(None).cast("string")).otherwise(F.lit("sorry")).alias("content"))
+    return classify.validated(expected, answers).select("candidate_id", "category", "technical_type", "reason", "confidence", "classified_by", "parse_ok")
+
+
+@query
+def candidate_ids(spark, sf):
+    """Positions and ids of candidates, over the lines of orders."""
+    rows = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("job_id"), (F.col("l_linenumber") % 3).alias("alignment_id"), F.col("l_linenumber").alias("ord"))
+    return tokendiff.number(rows).select("job_id", F.col("ord").cast("long").alias("ord"), F.col("sort_order").cast("long").alias("sort_order"), "candidate_id")
+
+
+def _decided(spark, sf) -> DataFrame:
+    """Events as decided candidates of one job per user."""
+    e = read_table(spark, sf, "events")
+    category = F.when(F.col("event_type").isin("signup", "view"), "technical").when(F.col("event_type") == "click", "ocr_uncertain").when(F.col("event_type") == "error", "alignment_error").otherwise("substantive")
+    by = F.when(F.col("event_type") == "signup", "deterministic").when(F.col("event_type") == "view", "llm").when(F.col("event_type") == "click", "fallback").otherwise("alignment_retry")
+    shown = (F.col("event_id") % 3 > 0) & ((F.col("user_id") % 5 > 0) | (category == "technical")) & (F.col("user_id") % 7 > 0)
+    return e.select(F.col("user_id").cast("string").alias("job_id"), category.alias("category"), by.alias("classified_by"), shown.alias("include_in_result"))
+
+
+@query
+def shown_counts(spark, sf):
+    """E13, E15 over decided events."""
+    return classify.summary(_decided(spark, sf))
+
+
+@query
+def event_verdicts(spark, sf):
+    """All three verdicts, jobs without shown candidates among them."""
+    d = _decided(spark, sf)
+    return classify.verdicts(d.select("job_id").distinct(), d)
+
+
 @query
 def safety_gate(spark, sf):
     """E12 over the differing lines, as if a model had called each technical."""
@@ -340,6 +429,82 @@ def guarded_status(spark, sf):
     return jobs.set_status(j, ch)
 
 
+def _jobs(spark, sf) -> DataFrame:
+    """Orders as jobs with all columns of a claim."""
+    j = views.jobs_of_orders(spark, sf)
+    return j.withColumns({"cancel_requested_at": F.when(F.col("job_id") % 11 == 0, F.col("created_at")), "lease_epoch": F.lit(0), "state_version": F.lit(1)})
+
+
+@query
+def claim_winners(spark, sf):
+    """Lines of an order as bids of their suppliers; the first shipment wins."""
+    bids = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.concat(F.lit("w"), F.col("l_suppkey").cast("string")).alias("owner"), F.col("l_shipdate").alias("at"))
+    return jobs.claims(_jobs(spark, sf), bids, as_of()).select("job_id", "status", "lease_owner", F.col("lease_epoch").cast("long").alias("lease_epoch"), "lease_expires_at")
+
+
+@query
+def run_numbers_continued(spark, sf):
+    """New runs after those that a job has already."""
+    log = views.job_log(spark, sf).select("job_id", "ts", F.col("seq").alias("event_id"), "status")
+    last = log.filter("status = 'ocr_ready'").groupBy("job_id").agg(F.count("*").cast("int").alias("last"))
+    new = log.filter("status = 'failed'").drop("status")
+    return jobs.numbered(new, ["ts", "event_id"], "run_number", last).select("event_id", F.col("run_number").cast("long").alias("run_number"))
+
+
+@query
+def event_append(spark, sf):
+    """Sequence numbers that go on after last_event_seq."""
+    o = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 4).cast("int").alias("last_event_seq"))
+    e = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("line"))
+    _, after = jobs.append_events(o, e, ["line"])
+    return after.select("job_id", F.col("last_event_seq").cast("long").alias("last_event_seq"))
+
+
+@query
+def transition_moves(spark, sf):
+    """Every order is asked to move; versions, from-states, codes and first times are kept or refused."""
+    none = F.lit(None).cast("timestamp_ntz")
+    j = _jobs(spark, sf).select("job_id", "status", F.lit("m").alias("message"), F.lit(None).cast("string").alias("failure_code"), (F.col("job_id") % 3).cast("int").alias("state_version"), none.alias("failed_at"), F.when(F.col("job_id") % 2 == 0, F.col("created_at")).alias("completed_at"))
+    k = F.col("job_id")
+    moves = j.select(
+        "job_id", F.when(k % 2 == 0, "completed").when(k % 5 == 0, "failed").otherwise("comparing").alias("to_status"), F.when(k % 3 == 0, 0).when(k % 3 == 1, 2).cast("int").alias("expected_version"),
+        F.when(k % 4 < 2, "comparing").alias("from_status"), F.when(k % 6 == 0, "done").otherwise("").alias("message"), F.when(k % 5 == 0, "x").alias("failure_code"), as_of().alias("at"),
+    )
+    return jobs.transition(j, moves).withColumn("state_version", F.col("state_version").cast("long"))
+
+
+@query
+def progress_states(spark, sf):
+    """events as the calls of a progress tracker."""
+    op = {"signup": "ensure", "view": "chunk", "click": "done", "purchase": "set", "error": "fail"}
+    status = {"signup": "queued", "purchase": "comparing"}
+    by = lambda of: F.try_element_at(F.create_map(*(F.lit(x) for kv in of.items() for x in kv)), F.col("event_type"))
+    log = read_table(spark, sf, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), by(op).alias("op"), by(status).alias("status"), (F.col("event_id") % 4).cast("int").alias("total_chunks"), (F.col("event_id") % 6).cast("int").alias("chunk_index"))
+    r = jobs.progress_states(log)
+    return r.select("job_id", "status", *(F.col(c).cast("long").alias(c) for c in ("total_chunks", "processed_chunks", "completions")))
+
+
+@query
+def page_pair_save(spark, sf):
+    """Conversations as jobs whose pages were stored."""
+    c = views.conv_chunks(spark, sf)
+    stored = pages.stored_chunks(c).join(c.groupBy("job_id").agg(F.max("page_number").alias("message_total")), "job_id")
+    k = F.col("job_id").cast("int") % 5
+    status = F.element_at(F.array(*map(F.lit, ("queued", "processing", "cancel_requested", "completed", "failed"))), k + 1)
+    j = c.select("job_id").distinct().select("job_id", status.alias("status"), (k * 2).alias("processed_chunks"), F.lit(0).alias("total_chunks"))
+    r = jobs.after_pages(j, stored)
+    return r.select("job_id", "status", F.col("processed_chunks").cast("long").alias("processed_chunks"), F.col("total_chunks").cast("long").alias("total_chunks"), "ready")
+
+
+@query
+def status_relay(spark, sf):
+    """events as status messages, those of errors without a status and those of signups no JSON."""
+    e = read_table(spark, sf, "events")
+    body = F.to_json(F.struct(F.col("event_id").cast("string").alias("job_id"), F.lit("d").alias("document_id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("status"), F.lit(1).alias("processed_chunks"), F.lit(2).alias("total_chunks"), F.lit("m").alias("message")))
+    good, _ = streams.statuses(e.select(F.when(F.col("event_type") == "signup", "{no").otherwise(body).alias("value")))
+    return good.select("job_id", "status", F.col("processed_chunks").cast("long").alias("processed_chunks"))
+
+
 # ---- queues ---------------------------------------------------------------
 
 
@@ -367,6 +532,13 @@ def outbox_claim(spark, sf):
     return queue.outbox_due(views.outbox(spark, sf), as_of()).select("event_id", "job_id")
 
 
+@query
+def outbox_claim_marked(spark, sf):
+    """Claims of all rows of the outbox after one claim."""
+    r = queue.outbox_claimed(views.outbox(spark, sf), as_of())
+    return r.select("event_id", "claimed", "claimed_at")
+
+
 @query
 def outbox_lag(spark, sf):
     return queue.outbox_lag(views.outbox(spark, sf), as_of())
