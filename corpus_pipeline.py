@@ -31,6 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose five-word shingles agree to 0.8 or more (directly or in a chain) the smallest doc_id stays.
 
+    Candidates are close SimHash fingerprints and min-hash bands; exact sets decide.
     Null and empty texts are one group; wholly equal rows leave one; rows without
     doc_id cannot be named as copies and stay; an empty table stays empty; all
     columns are kept.

@@ -28,8 +28,11 @@ def joined_hot(big: DataFrame, small: DataFrame, on: list[str], count: str, tota
 
     Keys of very many rows are joined by broadcast, so none of them gathers in one
     task: as their counts add up to ``total`` at most, there are at most 10,000 of
-    them. All other keys shuffle.
+    them. All other keys shuffle. A total of 10,000 or fewer needs no such care: no
+    task can get more rows than that.
     """
+    if total <= 10_000:
+        return big.join(small.drop(count), on)
     limit = max(200, total // 10_000)
     hot, cold = (small.filter(test).drop(count) for test in (F.col(count) > limit, F.col(count) <= limit))
     rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti")

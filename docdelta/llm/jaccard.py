@@ -1,15 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, for the pipeline.
+"""Near-duplicates by SimHash and the Jaccard similarity of word shingles, for the pipeline.
 
 Words as in simhash; shingles of five words, each once, as XXH64. Two texts are
 near-duplicates if the Jaccard similarity of their shingle sets is ``least`` or
 more. Texts of fewer words have one shingle, texts without words an empty one.
 
-Candidates meet under one of ``BANDS`` min-hash bands of ``ROWS`` values: at
-similarity 0.8 a pair misses all of them with probability (1 - 0.8^5)^32, three
-in a million, above it more rarely. Bands only decide which texts are compared:
-their links give candidate groups, and inside a group every pair is compared by
-its exact sets. Large groups are cut into tiles that together compare every
-pair; a tile returns the links of a spanning forest.
+Candidates come from two places. The SimHash fingerprints of the sets link at
+``DISTANCE`` or fewer bits by pigeonhole blocks, none of such pairs is missed
+(see simhash). Pairs at similarity 0.8 differ by up to 13 bits, where blocks
+select nothing; they meet under one of ``BANDS`` min-hash bands of ``ROWS``
+values: at 0.8 a pair misses all bands with probability (1 - 0.8^5)^32, three in
+a million, above it more rarely. Both only decide which texts are compared: their
+links give candidate groups, and inside a group every pair is compared by its
+exact sets, so fingerprints that are close by chance drop no text. Large groups
+are cut into tiles that together compare every pair; a tile returns the links of
+a spanning forest.
 
 Defined cases
     null text: no words; equal shingle sets: one node, however many rows; null
@@ -23,20 +27,20 @@ bound.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docdelta.llm import simhash
 from docdelta.llm.exprs import joined_hot
 from docdelta.llm.graph import components
 from docdelta.llm.simhash import component_names, keep_named
 from docdelta.plans.scratch import materialize
 
-# Shingle width and seed, bands and the values in each.
-WIDTH, SEED = 5, 42
+# Shingle width and seed, bits of a close fingerprint, bands and the values in each.
+WIDTH, SEED, DISTANCE = 5, 42, 4
 BANDS, ROWS = 32, 5
 _DRAW = np.random.default_rng(SEED).integers(1, 1 << 63, size=(2, BANDS * ROWS, 1), dtype=np.uint64)
 _TIMES, _PLUS = _DRAW[0] * np.uint64(2) + np.uint64(1), _DRAW[1]
@@ -46,13 +50,8 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
     from xxhash import xxh64_intdigest as h
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([h(joined, SEED)], np.uint64)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    return np.unique(np.fromiter((h(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :])), np.uint64, len(words) - width + 1))
+    found = simhash.shingles(text, width).astype(np.uint64)
+    return np.unique(found) if len(found) else np.array([h(b"", SEED)], np.uint64)
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -73,7 +72,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t.as_py()) for t in batch.column(2)]
         node = np.array([h(s.astype("<u8").tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
         keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), keys], names=["doc_id", "th", "node", "bands"])
+        fp = pa.array(np.array([simhash.folded(s) for s in sets], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), fp, keys], names=["doc_id", "th", "node", "fp", "bands"])
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,20 +149,34 @@ def _stars(links: DataFrame) -> DataFrame:
     return materialize(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "stars")
 
 
+def _close_prints(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) from nodes to their fingerprint, and between close fingerprints, which are nodes too.
+
+    A fingerprint that is alone and close to none has no link.
+    """
+    prints = materialize(distinct.groupBy("fp").agg(F.count("*").alias("n")), "prints")
+    close = materialize(simhash.links(prints.select("fp"), DISTANCE), "close")
+    ends = close.select(F.explode(F.array("a", "b")).alias("fp")).distinct().withColumn("linked", F.lit(True))
+    met = prints.join(ends, "fp", "left").filter("linked OR n > 1").select("fp", "n")
+    name = lambda c: F.xxhash64(F.lit("fingerprint"), c)
+    nodes = joined_hot(distinct.select("node", "fp"), met, ["fp"], "n", distinct.count())
+    return close.select(name("a").alias("a"), name("b").alias("b")).unionByName(nodes.select(F.col("node").alias("a"), name("fp").alias("b")))
+
+
 def groups(docs: DataFrame, least: float = 0.8, tile: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id and component_id (the smallest doc_id of the group) of every row."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    rows = materialize(read.mapInArrow(_signed, "doc_id long, th long, node long, bands array<long>"), "signed")
+    rows = materialize(read.mapInArrow(_signed, "doc_id long, th long, node long, fp long, bands array<long>"), "signed")
     one = F.min(F.struct("doc_id", "th")).alias("one")
-    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), one, F.first("bands").alias("bands")), "distinct")
+    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), one, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
     keyed = distinct.select("node", F.posexplode("bands").alias("c", "v"))
     shared = keyed.groupBy("c", "v").agg(F.min("node").alias("m"), F.max("node").alias("most")).filter("m <> most").drop("most")
     shared = materialize(shared, "shared")
-    met = keyed.join(_sized(shared, broadcast_rows), ["c", "v"]).filter("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
-    maybe = _stars(met)
+    met = keyed.join(_sized(shared, broadcast_rows), ["c", "v"]).filter("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
+    maybe = materialize(_stars(met.unionByName(_close_prints(distinct))).join(distinct.select("node", "one"), "node"), "maybe")
 
     sizes = maybe.groupBy("root").agg(F.ceil(F.count("*") / tile).alias("m"))
-    wanted = maybe.join(_sized(sizes, broadcast_rows), "root").join(distinct.select("node", "one"), "node")
+    wanted = maybe.join(_sized(sizes, broadcast_rows), "root")
     wanted = materialize(wanted.select("root", "m", "node", F.col("one.doc_id").alias("id"), F.col("one.th").alias("h")), "wanted")
     texts = read.join(_sized(wanted, broadcast_rows), (F.col("th") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("root", "m", "node", "text")
     sets = materialize(texts.mapInArrow(_with_sets, "root long, m long, node long, shingles array<long>"), "sets")

@@ -41,20 +41,22 @@ from docdelta.plans.scratch import materialize
 WIDTH, SEED = 4, 42
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """Unsigned 64-bit SimHash of a whole text."""
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The hash of every shingle, repeats included; a text of fewer words is one shingle, without words none."""
     from xxhash import xxh64_intdigest as h
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
-    if n == 0:
-        return 0
-    if n <= width:
-        return h(b" ".join(words), SEED)
     joined = b" ".join(words)
+    if n <= width:
+        return np.array([h(joined, SEED)] if n else [], np.dtype("<u8"))
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
-    hashes = np.fromiter((h(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :])), np.dtype("<u8"), n - width + 1)
+    return np.fromiter((h(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :])), np.dtype("<u8"), n - width + 1)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         part = hashes[i : i + 4096]
@@ -62,6 +64,11 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """Unsigned 64-bit SimHash of a whole text."""
+    return folded(shingles(text, width))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.dtype("<u8"), batch.num_rows)

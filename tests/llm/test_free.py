@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
-from docdelta.llm import graph, jaccard, pieces, quality_mil, simhash, toxicity, warc
+from docdelta.llm import exprs, graph, jaccard, pieces, quality_mil, simhash, toxicity, warc
 from pyspark.sql import functions as F
 
 from tests.llm.test_native import docs, items, prose
@@ -120,6 +120,42 @@ def test_components_of_chains_and_hubs(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(-5, 1000 + i) for i in range(300)]
+    part = {}
+    for a, b in pairs:
+        joint = part.get(a, {a}) | part.get(b, {b})
+        part.update(dict.fromkeys(joint, joint))
+    want = {i: min(of) for i, of in part.items() if min(of) != i}
+    for at_once in (0, 100_000):
+        got = graph.components(spark.createDataFrame(pairs, "a long, b long"), at_once=at_once)
+        assert {r.node: r.root for r in got.collect()} == want
+
+
+def test_hot_keys_join_as_others_do(spark):
+    rows = [(k, i) for k, n in [(1, 900), (2, 30), (3, 1)] for i in range(n)]
+    big, small = spark.createDataFrame(rows, "k long, i long"), spark.createDataFrame([(1, "a", 900), (2, "b", 30), (4, "d", 1)], "k long, v string, n long")
+    for total, joins in ((10_001, 3), (931, 1)):
+        got = exprs.joined_hot(big, small, ["k"], "n", total)
+        assert Counter(map(tuple, got.collect())) == Counter((k, i, "ab"[k - 1]) for k, i in rows if k < 3)
+        assert str(got._jdf.queryExecution().optimizedPlan()).count("Join ") == joins  # few rows: one plain join
+
+
+def test_near_duplicate_stage_links_by_fingerprints(spark):
+    rng = random.Random(9)
+    base = [prose(rng, 400) for _ in range(3)]
+    texts = [" ".join([*of[:at], "changed", *of[at + 1 :]]) for of in base for at in (0, 100, 399)]
+    sets = [jaccard.shingles(t) for t in texts]
+    rows = [(k, simhash.folded(s)) for k, s in enumerate(sets)]
+    signed = [(k, f - (1 << 64) if f >= 1 << 63 else f) for k, f in [*rows, (50, rows[0][1]), (51, 0)]]
+    links = jaccard._close_prints(spark.createDataFrame(signed, "node long, fp long"))
+    stars = {r.node: r.root for r in graph.components(links).collect()}
+    want = plain_components(dict([*rows, (50, rows[0][1]), (51, 0)]))
+    same = lambda of: {frozenset(k for k in want if of(k) == of(i)) for i in want}
+    assert same(lambda k: stars.get(k, k)) == same(want.get) and len(same(want.get)) < len(want)
+
+
 # ---- WARC -----------------------------------------------------------------
 
 
